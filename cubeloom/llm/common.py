@@ -207,25 +207,32 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of an undirected graph: root is the smallest node reachable.
 
-    ``edges`` has src and dst.  Each round takes the smallest root next to a
-    node (a pre-aggregated minimum, so a star with a hot centre stays cheap)
-    and then jumps to that root's root; labels are written to the shared folder
-    between rounds.  Only a count comes to the driver.  Null ends are ignored.
+    ``edges`` has src and dst.  Each round points every node at its smallest
+    neighbour (a pre-aggregated minimum, so a star with a hot centre stays
+    cheap), follows pointers twice, and contracts the edges along them; edges
+    shrink until none is left, and the rounds' pointers are then composed.
+    Tables are written to the shared folder between rounds; only an emptiness
+    test comes to the driver.  Null ends are ignored.
     """
-    both = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
-    both = scratch.save(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("m"))
-        step = labels.join(near, "node").select("node", "root", F.least("root", "m").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        new = scratch.save(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("root"), (F.least("to", F.coalesce("far", "to")) < F.col("root")).alias("moved")))
-        going = new.where("moved").limit(1).count()
-        scratch.drop(labels)
-        labels = new
-        if not going:
-            scratch.drop(both)
-            return labels.select("node", "root")
+
+    def simple(df: DataFrame) -> DataFrame:
+        return scratch.save(df.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+
+    left = simple(edges)
+    rounds: list[DataFrame] = []
+    while not rounds or left.limit(1).count():
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        first = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("to")))
+        again = first.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        point = scratch.save(first.join(again, "to").select("node", F.col("far").alias("root")))
+        rounds.append(point)
+        a = point.select(F.col("node").alias("src"), F.col("root").alias("s"))
+        b = point.select(F.col("node").alias("dst"), F.col("root").alias("d"))
+        left = simple(left.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")))
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.join(later.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    return out
 
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:

@@ -8,22 +8,32 @@ left is verified on the sets themselves.
 
 Distribution.  One R-tree over everything would not fit a task, so hashed groups
 also route documents to each other.  Sizes are cut into bands; in a band with
-at most d differing shingles between linked sets, shingles are dealt to d + 1
-groups, so at least one group has exactly the same content in both (pigeonhole).
-The content hash of each group is a *cell*.  Documents that share cells form
-blocks; a block goes to one task, or, when large, to one task for each pair of
-its hashed chunks.  Every task builds its R-tree and walks the links among its
-points.  No link is lost, and nothing is capped.
+at most d differing shingles between linked sets, shingles are dealt to
+d + 1 + s groups.  At most d groups differ, so a pair of which one set leaves at
+most s groups empty has a group with the same shingles, at least one, in both
+(pigeonhole).  The content hash of each such group is a *cell*; only sets with
+more than s empty groups, which are very rare, use those as cells too.
+
+1. Cells with two sets or more stay; cells with the same members count once.
+2. Each cell's points go into an R-tree, and its members are joined where the
+   bound lets them be linked.  Components of these joins are *blocks*.
+3. Each block's texts meet once, and an R-tree search with exact verification
+   finds their links.  Large cells and blocks are cut into hashed chunks, and
+   every pair of chunks meets in a task of its own.
+
+No link is lost, and nothing is capped.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -32,10 +42,16 @@ from . import common as C
 DIMS = 128
 #: Upper sizes of bands grow by this factor.
 BAND = 1.5
-#: Shingles that one chunk of a block holds on average at most.
-CHUNK_SHINGLES = 400_000
-#: Rows of (doc_id, block) up to which they are broadcast (24 bytes each); beyond, a shuffle join.
-BROADCAST_ROWS = 200_000
+#: Shingles of one chunk of a block: blocks are cut into up to CHUNKS chunks of at least the first
+#: figure, and into more only so that none holds more than the second on average.
+CHUNK_SHINGLES, MOST_SHINGLES, CHUNKS = 100_000, 2_000_000, 8
+#: Points of a cell that one chunk holds on average.
+CELL_POINTS = 20_000
+#: Rows of (cell, node) or (doc_id, block) up to which they are counted small enough to broadcast
+#: (24 bytes each); beyond, a shuffle join.
+BROADCAST_ROWS = 1_000_000
+#: Sets meet as 40 bits of their digest while blocks form; a chance meeting only adds a candidate.
+NODE = (1 << 40) - 1
 LEAF = 32
 
 
@@ -57,12 +73,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[
             yield np.zeros(0, C.U64)
 
 
-def band_edges(largest: int) -> list[int]:
-    """Band k holds sizes from edges[k] up to edges[k + 1] - 1."""
-    edges = [1]
-    while edges[-1] <= largest:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
+@functools.cache
+def band_edge(k: int) -> int:
+    """Band k holds sizes from edge k up to edge k + 1 less one."""
+    return 1 if k == 0 else max(band_edge(k - 1) + 1, int(band_edge(k - 1) * BAND))
 
 
 def _differing(upper: int, num: int, den: int) -> int:
@@ -74,28 +88,63 @@ def _differing(upper: int, num: int, den: int) -> int:
     return 2 * upper * (den - num) // (den + num)
 
 
-def cells_of(shingles: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray:
-    """Cell hashes of one set: its groups in its own band, and in the next if a larger partner may be there."""
+def _spare(differing: int, smallest: int) -> int:
+    """Groups that may stay empty: what hashing ``smallest`` shingles leaves empty, with a wide margin."""
+    spare = 0
+    while differing:
+        empty = (groups := differing + 1 + spare) * math.exp(-smallest / groups)
+        if spare >= min(empty + 4 * math.sqrt(empty) + 0.5, smallest):
+            break
+        spare += 1
+    return spare
+
+
+@functools.cache
+def _groups(k: int, num: int, den: int) -> tuple[int, int]:
+    """(groups, how many may be empty) of band k."""
+    low, high = band_edge(k), band_edge(k + 1)
+    differing = _differing(high - 1, num, den)
+    spare = _spare(differing, low)
+    return differing + 1 + spare, spare
+
+
+def cells_of(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Cell hashes of one set: its groups in its own band, and in the next ones if larger partners may be there.
+
+    A chance meeting of cells only adds a candidate, so 48 bits are enough.
+    """
     n = len(shingles)
     if not n:
-        return np.zeros(0, C.U64)
-    k = int(np.searchsorted(edges, n, side="right")) - 1
+        return np.zeros(0, np.int64)
+    k = 0
+    while band_edge(k + 1) <= n:
+        k += 1
     out = []
     with np.errstate(over="ignore"):
-        while k < len(edges) - 1 and edges[k] * num <= n * den:
-            groups = _differing(edges[k + 1] - 1, num, den) + 1
+        while band_edge(k) * num <= n * den:
+            groups, spare = _groups(k, num, den)
             at = ((shingles >> C.U64(32)) * C.U64(groups)) >> C.U64(32)
+            # shingles ascend, so those of a group stand together
+            cuts = np.searchsorted(at, np.arange(groups))
+            held = np.diff(np.append(cuts, n)) > 0
             sums = np.zeros(groups, C.U64)
-            np.add.at(sums, at.astype(np.int64), C.mix(shingles + C.U64(k + 1)))
-            out.append(C.combine([sums, np.arange(groups, dtype=C.U64), np.full(groups, k, C.U64)]))
+            sums[held] = np.add.reduceat(C.mix(shingles + C.U64(k + 1)), cuts[held])
+            cells = C.combine([sums, np.arange(groups, dtype=C.U64) + C.U64(k << 32)])
+            out.append(cells if groups - held.sum() > spare else cells[held])
             k += 1
-    return np.concatenate(out)
+    return (np.concatenate(out) >> C.U64(16)).astype(np.int64)
 
 
 def _linked(inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.ndarray:
     return den * inter >= num * (a + b - inter)
 
 
+def digest(shingles: np.ndarray) -> int | None:
+    """64 bits for a set; none for the empty one."""
+    with np.errstate(over="ignore"):
+        return int(C.mix(shingles).sum(dtype=C.U64).view(np.int64)) if len(shingles) else None
+
+
 class CountVectorRTree:
     """Points packed into leaves of LEAF by sorted order; each leaf keeps its upper corner.
 
@@ -138,11 +187,46 @@ class CountVectorRTree:
         return self.order[at[_linked(bound, n, self.sizes[at], num, den)]]
 
 
-def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), DIMS), np.int32)
-    for row, s in zip(out, sets, strict=True):
-        row += np.bincount((s % C.U64(DIMS)).astype(np.int64), minlength=DIMS).astype(np.int32)
-    return out
+def count_vector(shingles: np.ndarray, dims: int = 0) -> np.ndarray:
+    """Group counts of a set; by default as many groups, a power of two, as keep counts small and bounds tight."""
+    if not dims:
+        dims = 16
+        while dims * 6 < len(shingles):
+            dims *= 2
+    out = np.bincount((shingles & C.U64(dims - 1)).astype(np.int64), minlength=dims)
+    return out if not len(out) or out.max() < 256 else count_vector(shingles, 2 * dims)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of different dimension (powers of two) over the groups of the smallest."""
+    dims = min(len(p) for p in points)
+    return np.stack([p.astype(np.int32).reshape(-1, dims).sum(axis=0) for p in points])
+
+
+def bound_components(points: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each point the position of the first one reachable where the bound reaches the similarity."""
+    points = folded(points)
+    root = np.full(len(sizes), -1, np.int64)
+    if len(sizes) <= 3:
+        root = np.arange(len(sizes))
+        for i in range(len(sizes)):
+            for j in range(i):
+                if root[i] != root[j] and _linked(np.minimum(points[i], points[j]).sum(), sizes[i], sizes[j], num, den):
+                    root[root == max(root[i], root[j])] = min(root[i], root[j])
+        return root
+    tree = CountVectorRTree(points, sizes, num, den)
+    for first in range(len(sizes)):
+        if root[first] < 0:
+            root[first] = first
+            tree.remove(np.array([first]))
+            queue = [first]
+            while queue:
+                q = queue.pop()
+                got = tree.query(points[q], int(sizes[q]))
+                root[got] = first
+                tree.remove(got)
+                queue.extend(got.tolist())
+    return root
 
 
 def components_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -156,7 +240,7 @@ def components_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     root = np.full(len(sets), -1, np.int64)
     if not len(sets):
         return root
-    points = count_vectors(sets)
+    points = folded([count_vector(s, DIMS) for s in sets])
     tree = CountVectorRTree(points, sizes, num, den)
     for first in range(len(sets)):
         if root[first] >= 0:
@@ -179,6 +263,36 @@ def components_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
+def _dealt(rows: DataFrame, key: str, member: str, chunks: Column, total: int) -> DataFrame:
+    """Rows with the task key (k0, k1, k2): groups of one chunk share hashed tasks of
+    some thousand rows; others send each row to every pair of chunks with its own."""
+    bins = F.lit(max(1, -(-total // 4096)))
+    rows = rows.withColumn("_c", F.greatest(chunks.cast("long"), F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_c")))
+    rows = rows.withColumn("_o", F.explode(F.expr("sequence(0L, _c - 1)"))).where("_c = 1 or _o <> _own")
+    one = F.col("_c") == 1
+    return rows.select(
+        *[c for c in rows.columns if not c.startswith("_")],
+        F.when(one, F.pmod(F.xxhash64(key), bins)).otherwise(F.col(key)).alias("k0"),
+        F.when(one, F.lit(-1)).otherwise(F.least("_o", "_own")).alias("k1"),
+        F.when(one, F.lit(-1)).otherwise(F.greatest("_o", "_own")).alias("k2"),
+    )
+
+
+def _join_points(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Edges between members of each cell where the bound lets them be linked."""
+    frame = frame.sort_values("k", kind="stable")
+    key, node, size = (frame[c].to_numpy() for c in ("k", "node", "n"))
+    points = [np.frombuffer(p, np.uint8) for p in frame["point"]]
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    src, dst = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        root = bound_components(points[a:b], size[a:b], num, den)
+        src.append(node[a:b])
+        dst.append(node[a + root])
+    out = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+    return out[out["src"] != out["dst"]].drop_duplicates()
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Classes of documents linked by shingle similarity >= num / den.
 
@@ -193,65 +307,63 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(1 << 20)
         for batch in batches:
             for part, data, offsets in C.text_steps(batch):
-                n, sid, cells = [], [], []
+                sets = list(shingle_sets(data, offsets, words))
+                points = [count_vector(s).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "sid", "point"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # sets of this task: copies are dealt once
+        for batch in batches:
+            for _, data, offsets in C.text_steps(batch):
+                sets = []
                 for s in shingle_sets(data, offsets, words):
-                    while len(s) >= edges[-1]:
-                        edges = band_edges(edges[-1] * 4)
-                    n.append(len(s))
-                    sid.append(int(C.mix(s).sum(dtype=C.U64).view(np.int64)) if len(s) else None)
-                    cells.append(cells_of(s, num, den, edges).view(np.int64))
-                sizes = np.concatenate(([0], np.cumsum([len(c) for c in cells])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(cells)))],
-                    names=["doc_id", "n_shingles", "sid", "cells"],
-                )
-
-    table = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, sid long, cells array<long>"))
-    rows = table.where("sid is not null").select("sid", F.explode("cells").alias("cell"))
-    shared = rows.groupBy("cell").agg(F.min("sid").alias("rep"), F.max("sid").alias("top")).where("rep <> top").select("cell", "rep")
-    stars = rows.join(shared, "cell").where("sid <> rep").select(F.col("sid").alias("src"), F.col("rep").alias("dst")).distinct()
-    blocks = C.connected_components(stars, scratch)
-
-    reps = table.where("sid is not null").groupBy("sid").agg(F.min_by(F.struct("doc_id", "n_shingles"), "doc_id").alias("r"), F.first("n_shingles").alias("n"))
-    load = blocks.join(reps.select(F.col("sid").alias("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("load")).select("root", F.ceil(F.col("load") / CHUNK_SHINGLES).alias("chunks"), "load")
-    members = scratch.save(
-        blocks.join(reps.select(F.col("sid").alias("node"), F.col("r.doc_id").alias("doc_id")), "node")
-        .join(load, "root")
-        .where("doc_id is not null")
-        .select("doc_id", F.col("node").alias("sid"), "root", "chunks", "load")
-    )
-    count, most, total = members.agg(F.count("*"), F.max("chunks"), F.sum(F.when(F.col("chunks") == 1, F.lit(1)))).first()
-    bins = max(1, -(-(total or 0) // 512))
-    chunk = F.pmod(F.xxhash64("sid"), F.col("chunks"))
-    sent = members.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).where((F.col("chunks") == 1) | (F.col("other") != chunk))
-    sent = sent.select(
-        "doc_id", "sid", "root",
-        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("k0"),
-        F.when(F.col("chunks") == 1, F.lit(-1)).otherwise(F.least("other", chunk)).alias("k1"),
-        F.when(F.col("chunks") == 1, F.lit(-1)).otherwise(F.greatest("other", chunk)).alias("k2"),
-    )
+                    if len(s) and (d := digest(s)) not in seen:
+                        seen.add(d)
+                        sets.append(s)
+                cells = [cells_of(s, num, den) for s in sets]
+                node = np.repeat(np.array([digest(s) & NODE for s in sets], np.int64), [len(c) for c in cells])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*cells, np.zeros(0, np.int64)])), pa.array(node)], names=["cell", "node"])
+
+    table = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, sid long, point binary"))
+    reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+    reps = scratch.save(reps.withColumn("node", F.col("sid").bitwiseAND(F.lit(NODE))))
+
+    # one shuffle by cell serves the distinct, the counts and the digest of the members
+    rows = texts.mapInArrow(deal, "cell long, node long").repartition("cell").dropDuplicates(["cell", "node"])
+    each = Window.partitionBy("cell")
+    met = rows.withColumns({"m": F.count("*").over(each), "sig": F.sum(F.xxhash64("node") / 4096).over(each)}).where("m > 1")
+    met = met.select(F.xxhash64("sig", "m", F.min("node").over(each)).alias("k"), "node", "m").distinct()
+    met = scratch.save(met)
+    joins = _dealt(met.join(reps.select("node", "n", "point"), "node"), "k", "node", F.ceil(F.col("m") / CELL_POINTS), met.count())
+    joins = joins.groupBy("k0", "k1", "k2").applyInPandas(lambda f: _join_points(f, num, den), "src long, dst long")
+    blocks = scratch.save(C.connected_components(joins, scratch))
+
+    load = blocks.join(reps, "node").groupBy("root").agg(F.sum("n").alias("load"))
+    chunks = F.greatest(F.least(F.ceil(F.col("load") / CHUNK_SHINGLES), F.lit(CHUNKS)), F.ceil(F.col("load") / MOST_SHINGLES))
+    members = scratch.save(blocks.join(reps, "node").join(load, "root").where("doc_id is not null").select("doc_id", "sid", F.col("root").alias("k"), chunks.alias("chunks")))
+    count, most = members.agg(F.count("*"), F.max("chunks")).first()
+    sent = _dealt(members, "k", "sid", F.col("chunks"), count * 16)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("sid")
         out = []
-        for _, block in frame.groupby("root", sort=False):
-            texts = pa.array(block["text"].tolist(), pa.large_string())
-            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        for _, block in frame.groupby("k", sort=False):
+            batch = pa.RecordBatch.from_arrays([pa.array(block["text"].tolist(), pa.large_string())], names=["text"])
             sets = [s for _, d, o in C.text_steps(batch) for s in shingle_sets(d, o, words)]
             root = components_within(sets, num, den)
             ids = block["sid"].to_numpy()
             out.append(pd.DataFrame({"src": ids, "dst": ids[root]}))
         return pd.concat(out)
 
-    held = F.broadcast(sent) if count <= BROADCAST_ROWS and (most or 0) <= 1 else sent
-    links = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, "doc_id").groupBy("k0", "k1", "k2").applyInPandas(search, "src long, dst long")
-    links = scratch.save(links.where("src <> dst").distinct())
+    few = count * min(most or 1, CHUNKS) <= BROADCAST_ROWS and (most or 1) <= CHUNKS
+    links = texts.join(F.broadcast(sent) if few else sent, "doc_id").groupBy("k0", "k1", "k2").applyInPandas(search, "src long, dst long")
     classes = C.connected_components(links, scratch)
-    per_set = reps.select("sid", F.col("r.doc_id").alias("doc_id")).join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    per_set = reps.select("sid", "doc_id").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = per_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = per_set.join(smallest, "root").select("sid", "component_id")
     return (

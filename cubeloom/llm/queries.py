@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, media, ngram_jaccard, url_filter
+from . import bpe, common, decontamination, html_extraction, language_id, media, ngram_jaccard, quality, sharding, toxicity, url_filter
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -15,6 +15,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.pack_into_shards(common.documents(spark, sf_dir), shards=16)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(common.documents(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontamination(common.documents(spark, sf_dir), common.documents(spark, sf_dir, "benchmark"))
     return found.select(
@@ -23,6 +31,18 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(common.documents(spark, sf_dir), common.documents(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(common.documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.documents(spark, sf_dir), common.documents(spark, sf_dir, "labels"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(common.documents(spark, sf_dir))
 
@@ -35,12 +55,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(common.documents(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_media_columns": op9_media_columns,
     "op10_url_filter": op10_url_filter,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
