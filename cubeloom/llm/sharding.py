@@ -4,9 +4,9 @@ Items are groups of equal texts with a vector (bytes, tokens, rows).  An item
 goes where the dot product of its vector with the residual capacity is highest.
 
 Packing runs on two levels.  Items are dealt by hash to partitions; each packs
-its own stream, largest first, into one local bin for each shard, keeping
-nothing but the bins.  The driver then packs the local bins (shards times at
-most MOST_PARTITIONS of them) into shards the same way.  A group with a large
+its own stream, largest first, into some local bins for each shard, keeping
+nothing but the bins.  The driver then packs the local bins, a bounded number,
+into shards the same way.  A group with a large
 share of all rows is cut into pieces first, so no task and no bin has to take it.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rows for one partition, and the most partitions; the driver packs shards * MOST_PARTITIONS bins at most.
-PARTITION_ROWS, MOST_PARTITIONS = 1_500, 4_096
+#: Rows for one partition, the most partitions, and local bins for each shard; the driver packs
+#: LOCAL * shards * MOST_PARTITIONS bins at most.
+PARTITION_ROWS, MOST_PARTITIONS, LOCAL = 1_500, 1_024, 4
 #: A group is cut if it holds more than one of PARTS parts of all rows or bytes, or more rows than PIECE_ROWS.
 PARTS, PIECE_ROWS = 64, 100_000
 
@@ -135,7 +136,7 @@ def pack_into_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
                     close()
                     if r[0] != part:
                         part = r[0]
-                        bins, filled = Bins(shards, totals[part]), [0] * shards
+                        bins, filled = Bins(LOCAL * shards, totals[part]), [0] * (LOCAL * shards)
                     key = (r[0], *r[1:4])
                 held.append(r)
             yield flush()
@@ -157,7 +158,7 @@ def pack_into_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         for (part, at), v in sorted(got):
             plan.append((part, at, shard, base))
             base += v[2]
-    # shards * MOST_PARTITIONS rows at most
+    # LOCAL * shards * MOST_PARTITIONS rows at most
     plan = F.broadcast(spark.createDataFrame(plan, "part int, bin int, shard int, base long"))
     return packed.join(plan, ["part", "bin"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens"

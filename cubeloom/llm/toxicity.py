@@ -35,7 +35,7 @@ STARTS = (4, 5, 6, 7, 8)
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Log costs of the channel.
-SUBSTITUTE, COLLAPSE, JOIN, UNREAD = -1.0, -0.5, -0.5, -12.0
+SUBSTITUTE, COLLAPSE, JOIN, UNREAD = -1.0, -0.5, -0.5, -25.0
 
 LETTERS = C.byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 PLAIN = C.byte_table(lambda b: 97 <= b <= 122)
