@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .plans import interval_of
+from .plans import interval_of, literal_array
 
 #: Relative spread of steps up to which an axis counts as regular.
 REGULAR = 1e-4
@@ -102,8 +102,7 @@ class Dim:
             if isinstance(self.offset, dt.date):
                 return F.date_add(F.lit(self.offset), (step * self.delta.days).cast("int"))
             return F.lit(self.offset) + step * F.lit(self.delta)
-        literal = F.array(*[F.lit(v) for v in self.coords(where)])
-        return F.element_at(literal, index.cast("int"))
+        return F.element_at(literal_array(self.coords(where)), index.cast("int"))
 
     def index(self, value: Column) -> Column:
         """Index of the cell that holds a coordinate, null outside: arithmetic on a regular axis, a lookup else."""
@@ -113,7 +112,7 @@ class Dim:
             up = _number(self.ends[0]) > _number(self.values[0])
             i = interval_of(value, [*self.values, self.ends[-1]]) if up else self.n + 1 - interval_of(value, [self.ends[-1], *reversed(self.values)])
         else:
-            i = F.array_position(F.array(*[F.lit(v) for v in self.coords()]), value)
+            i = F.array_position(literal_array(self.coords()), value)
             i = F.when(i > 0, i)
         return F.when((i >= 1) & (i <= self.n), i).cast("int")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as C
 from ..dims import Dim, Dimensions
-from ..plans import interval_of
+from ..plans import interval_of, literal_array
 
 
 def time_breaks(low: dt.date, high: dt.date, by: str) -> list[dt.date]:
@@ -74,8 +74,7 @@ class Aggregation:
         df = self.df.withColumn(dim, key.cast("int")).where(F.col(dim).isNotNull())
         counts = F.col("_cells") if cells else None
         if cells:
-            pairs = F.create_map(*[F.lit(x) for kv in cells.items() for x in kv])
-            df = df.withColumn("_cells", pairs[F.col(dim)])
+            df = df.withColumn("_cells", F.element_at(literal_array([cells.get(g) for g in range(1, max(cells) + 1)], "int"), F.col(dim)))
         aggs = []
         for a in self.attrs:
             col = C.reducer(fun, a, None, True) if na_rm or not cells else F.when(F.count(F.when(~C.is_na(F.col(a)), 1)) == F.max(counts), C.reducer(fun, a, None, True))
@@ -89,7 +88,7 @@ class Aggregation:
         values = d.coords()
         group = [sum(1 for b in breaks if (b < v if left_open else b <= v)) for v in values]
         cells = {g: group.count(g) for g in set(group) if 1 <= g < len(breaks)}
-        key = F.element_at(F.array(*[F.lit(g if g in cells else None).cast("int") for g in group]), F.col(dim)) if len(values) <= 20_000 else interval_of(d.coord(F.col(dim)), breaks, left_open)
+        key = F.element_at(literal_array([g if g in cells else None for g in group], "int"), F.col(dim)) if len(values) <= 20_000 else interval_of(d.coord(F.col(dim)), breaks, left_open)
         return self._grouped(key, dim, Dim.of(dim, breaks), fun, na_rm, cells)
 
     def aggregate_time(self, dim: str, by: str, fun: str, na_rm: bool = False):
@@ -105,7 +104,7 @@ class Aggregation:
         levels = levels or sorted(set(got))
         at = [levels.index(g) + 1 if g in levels else None for g in got]
         cells = {g: at.count(g) for g in set(at) - {None}}
-        return self._grouped(F.element_at(F.array(*[F.lit(a).cast("int") for a in at]), F.col(dim)), dim, Dim(dim, len(levels), values=tuple(levels)), fun, na_rm, cells)
+        return self._grouped(F.element_at(literal_array(at, "int"), F.col(dim)), dim, Dim(dim, len(levels), values=tuple(levels)), fun, na_rm, cells)
 
     def aggregate_blocks(self, blocks: dict[str, int], fun: str, na_rm: bool = False):
         """Groups of whole blocks of a regular raster, as index arithmetic: no spatial join."""
