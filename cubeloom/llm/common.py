@@ -238,3 +238,20 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; null counts as empty."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def bounded_sample(docs: DataFrame, usable: Column, rows: int, seed: int, marks: DataFrame | None = None) -> DataFrame:
+    """At most ``rows`` documents for a fit: distinct doc_ids (with the columns of ``marks``) and h, smallest hashes first.
+
+    Only ids and hashes are shuffled and ordered, never texts, and a bound on
+    the hash leaves about twice as many of them as needed, so what reaches the
+    last task follows ``rows`` and not the table.  The result is small enough
+    to broadcast.  Null doc_ids are never taken; ``marks`` has one row a doc_id.
+    """
+    ids = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id")
+    ids = ids if marks is None else marks.join(ids, "doc_id", "left_semi")
+    ids = Scratch(docs.sparkSession).save(ids.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))))
+    n = ids.count()
+    if n > 4 * rows:
+        ids = ids.where(F.col("h") < -(1 << 63) + (1 << 64) * 2 * rows // n)
+    return ids.dropDuplicates(["doc_id"]).orderBy("h", "doc_id").limit(rows)

@@ -82,9 +82,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Logisti
     """A classifier from labelled rows; none unless both classes are seen."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = docs.select("doc_id", "text")
-    chosen = docs.where("text is not null").join(marks, "doc_id").withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)))
-    found = _measured(chosen)
-    got = found.select(F.col("c2").alias("y"), F.col("x0").alias("x"), F.col("c3").alias("h"), F.col("c0").alias("doc_id")).orderBy("h", "doc_id").limit(rows).select("y", "x").collect()
+    chosen = C.bounded_sample(docs, F.col("text").isNotNull(), rows, 5, marks)
+    found = _measured(docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality"))
+    # one row a doc_id, however often it is repeated
+    got = found.groupBy(F.col("c0").alias("doc_id")).agg(F.first("c2").alias("y"), F.min("x0").alias("x")).collect()
+    got.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in got], float)
     if not len(got) or y.min() == y.max():
         return None

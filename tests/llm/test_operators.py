@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cubeloom.llm import bpe, common, decontamination, html_extraction, language_id, media, ngram_jaccard, quality, sharding, toxicity, url_filter
 
@@ -288,3 +289,13 @@ def test_pipeline(spark):
         docs = kept
     out = p.run(spark, SF)
     assert out.count() == docs.count() == out.select("doc_id").distinct().count()
+
+
+def test_bounded_sample(spark):
+    d = spark.range(5000).selectExpr("id % 4000 as doc_id", "if(id = 2000, null, 'w') as text").unionByName(spark.createDataFrame([(None, "w")], "doc_id long, text string"))
+    got = [r.doc_id for r in common.bounded_sample(d, F.col("text").isNotNull(), 100, 5).collect()]
+    full = d.where("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), "doc_id").limit(100)
+    assert got == [r.doc_id for r in full.collect()] and len(set(got)) == 100
+    marks = spark.range(1990, 2010).selectExpr("id as doc_id", "1 as m")
+    assert common.bounded_sample(d, F.col("text").isNotNull(), 100, 5, marks).count() == 19
+    assert common.bounded_sample(d.limit(0), F.col("text").isNotNull(), 100, 5).count() == 0
