@@ -220,8 +220,12 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ToxicityModel | None:
     """A model from labelled rows outside the held-out fold; none without such rows."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held) & (F.octet_length("text") <= size))
-    got = usable.join(marks, "doc_id").select("toxic", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(rows).select("toxic", "text").collect()
+    docs = docs.select("doc_id", "text")
+    usable = F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held) & (F.octet_length("text") <= size)
+    chosen = C.bounded_sample(docs, usable, rows, 7, marks)
+    # one text a doc_id, however often it is repeated
+    got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r.h, r.doc_id))
     return ToxicityModel([r.text for r in got], [r.toxic for r in got]) if got else None
 
 
