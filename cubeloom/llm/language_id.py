@@ -156,8 +156,12 @@ class ChainField:
 
 def train(docs: DataFrame, fold: int = 4, held: int = 2, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ChainField | None:
     """A field from text and non-null lang of documents outside the held-out fold; none without such rows."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held) & (F.octet_length("text") <= size))
-    got = usable.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(rows).select("lang", "text").collect()
+    docs = docs.select("doc_id", "text", "lang")
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held) & (F.octet_length("text") <= size)
+    chosen = C.bounded_sample(docs, usable, rows, 6)
+    # one text a doc_id, however often it is repeated
+    got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).select("h", "doc_id", "d.*").collect()
+    got.sort(key=lambda r: (r.h, r.doc_id))
     return ChainField(sorted({r.lang for r in got})).fit([r.text for r in got], [r.lang for r in got]) if got else None
 
 
