@@ -75,13 +75,27 @@ class TreeBPE:
             memo[token] = first in self._tails()
         return memo[token]
 
+    def _byte_of(self) -> dict[str, int]:
+        """The byte behind each character of a byte-level vocabulary."""
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+
     def _tails(self) -> set[str]:
         if "tails" not in self.__dict__:
-            plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-            chars = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
-            self.tails = {chars[b] for b in range(0x80, 0xC0)}
+            self.tails = {c for c, b in self._byte_of().items() if 0x80 <= b < 0xC0}
         return self.tails
 
+    def _token_bytes(self) -> dict[int, bytes]:
+        """Bytes of each token, as the byte-level decoder takes them; empty for other decoders."""
+        if "token_bytes" not in self.__dict__:
+            self.token_bytes = {}
+            if type(self.tok.decoder).__name__ == "ByteLevel":
+                chars = self._byte_of()
+                for i in range(self.tok.get_vocab_size()):
+                    t = self.tok.id_to_token(i)
+                    self.token_bytes[i] = bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode()
+        return self.token_bytes
+
     def encode_piece(self, piece: str) -> list[int]:
         """One piece of the pre-tokenizer, by the tree."""
         if len(piece) <= self.leaf:
@@ -143,7 +157,11 @@ class TreeBPE:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return self.tok.decode(ids, skip_special_tokens=False)
+        """The library's decode: byte-level tokens are joined as bytes, anything else goes to the library."""
+        try:
+            return b"".join(map(self._token_bytes().__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError:
+            return self.tok.decode(ids, skip_special_tokens=False)
 
 
 def _columns(path: str, digests: bool):

@@ -299,3 +299,14 @@ def test_bounded_sample(spark):
     marks = spark.range(1990, 2010).selectExpr("id as doc_id", "1 as m")
     assert common.bounded_sample(d, F.col("text").isNotNull(), 100, 5, marks).count() == 19
     assert common.bounded_sample(d.limit(0), F.col("text").isNotNull(), 100, 5).count() == 0
+
+
+def test_bpe_decodes_any_ids():
+    """Also ids whose bytes are no text, the special token and ids outside the vocabulary."""
+    tree, rnd = bpe.TreeBPE(bpe.default_vocabulary()), random.Random(9)
+    assert tree._token_bytes()
+    for n in (0, 1, 2, 5, 40, 400):
+        for _ in range(200):
+            ids = [rnd.choice([rnd.randrange(256), rnd.randrange(50_257), 50_256]) for _ in range(n)]
+            assert tree.decode(ids) == tree.tok.decode(ids, skip_special_tokens=False)
+    assert tree.decode([5, 60_000, 7]) == tree.tok.decode([5, 60_000, 7], skip_special_tokens=False)
