@@ -177,8 +177,10 @@ def test_bpe(spark, docs, corpus):
     cases = [big[a : a + rnd.randint(1, 700)] for a in (rnd.randrange(len(big)) for _ in range(100))]
     cases += [c.replace(" ", "") for c in cases] + ["".join(rnd.choice("ab \n\t'sé漢😀!1") for _ in range(400)) for _ in range(100)]
     cases += ["a" * 900, " " * 700, "\n" * 300 + "x", "😀" * 200, "漢字" * 300, "x<|endoftext|>" * 50, "<|endoftext|" * 40, "'s" * 200]
+    by_library = bpe.TreeBPE(bpe.default_vocabulary(), whole=64, leaf=16)
+    by_library.ranks = None
     for c in cases:
-        assert tree.encode(c) == plain.encode(c, add_special_tokens=False).ids
+        assert tree.encode(c) == by_library.encode(c) == plain.encode(c, add_special_tokens=False).ids
     for r in bpe.bpe_digests(docs).collect():
         ids = plain.encode(dict(corpus)[r.doc_id] or "", add_special_tokens=False).ids
         back = plain.decode(ids, skip_special_tokens=False)
@@ -310,3 +312,24 @@ def test_bpe_decodes_any_ids():
             ids = [rnd.choice([rnd.randrange(256), rnd.randrange(50_257), 50_256]) for _ in range(n)]
             assert tree.decode(ids) == tree.tok.decode(ids, skip_special_tokens=False)
     assert tree.decode([5, 60_000, 7]) == tree.tok.decode([5, 60_000, 7], skip_special_tokens=False)
+
+
+def test_bpe_by_ranks_equals_the_library():
+    """Ids from ranks, over code points of every kind and awkward runs; other vocabularies keep the library."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tree = bpe.TreeBPE(bpe.default_vocabulary())
+    assert tree.ranks is not None
+    cases = [f"a{c}a 1{c}1 .{c}. {c}{c} {c}  {c}" for c in (chr(n) for n in [*range(0xD800), *range(0xE000, 0x18E00, 3), *range(0x1B000, 0x20000), *range(0xE0000, 0xE0200)])]
+    cases += [" " * 32_768, "\n" * 30_000 + "x", "a" * 32_768, "ab" * 9_000, "<|endoftext|>" * 9, " <|endoftext|> x", "'S 's'll", ""]
+    assert tree._lib(cases) == [e.ids for e in tree.tok.encode_batch_fast(cases, add_special_tokens=False)]
+    vocab = {c: i for i, c in enumerate(bpe._byte_of())}
+    small = Tokenizer(models.BPE(vocab={**vocab, "ab": 256, "abc": 257}, merges=[("a", "b"), ("ab", "c")]))
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert bpe.ranked(small, {}) is not None
+    # the second merge can't be reached, as b and c join first
+    odd = Tokenizer(models.BPE(vocab={**vocab, "bc": 256, "ab": 257, "abc": 258}, merges=[("b", "c"), ("a", "b"), ("ab", "c")]))
+    odd.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert bpe.ranked(odd, {}) is None
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert bpe.ranked(small, {}) is None
