@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from . import functions as C
 from .dims import Dim, Dimensions
-from .operators import aggregate, combine, spatial
+from .operators import aggregate, combine, resample, spatial
 
 Attr = str
 
 
 @dataclass(frozen=True)
-class Cube(aggregate.Aggregation, combine.Combination, spatial.Spatial):
+class Cube(aggregate.Aggregation, combine.Combination, resample.Resampling, spatial.Spatial):
     df: DataFrame
     dims: Dimensions
     attrs: tuple[Attr, ...]

@@ -49,6 +49,68 @@ def signif(c: Column, digits: int = 6) -> Column:
     return F.when(c == 0, c).otherwise(F.rint(c * scale) / scale)
 
 
+#: Lanczos approximation of the gamma function, g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def _at_pole(c: Column) -> Column:
+    return (c <= 0) & (c == F.floor(c))
+
+
+def lgamma(c: Column) -> Column:
+    """Log of the absolute gamma function; Inf at its poles."""
+    c = c.cast("double")
+    x = F.when(c < 0.5, 1 - c).otherwise(c) - 1
+    total = F.lit(LANCZOS[0])
+    for k, v in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(v) / (x + k)
+    t = x + 7.5
+    right = 0.5 * F.ln(2 * F.pi()) + (x + 0.5) * F.ln(t) - t + F.ln(total)
+    left = F.ln(F.pi()) - F.ln(F.abs(F.sin(F.pi() * c))) - right
+    return F.when(_at_pole(c), INF).when(c < 0.5, left).otherwise(right)
+
+
+def gamma(c: Column) -> Column:
+    """The gamma function; NaN at its poles."""
+    c = c.cast("double")
+    sign = F.when((c < 0) & (F.floor(c) % 2 != 0), -1.0).otherwise(1.0)
+    return F.when(_at_pole(c), NAN).otherwise(sign * F.exp(lgamma(c)))
+
+
+def _polygamma(c: Column, shifted: Column, term: Column) -> Column:
+    """A series that holds for large arguments, carried down eight steps."""
+    for k in range(8):
+        shifted = shifted + term(c + k)
+    return shifted
+
+
+def digamma(c: Column) -> Column:
+    """Derivative of lgamma; NaN at the poles."""
+    c = c.cast("double")
+    x = F.when(c < 0.5, 1 - c).otherwise(c)
+    y = x + 8
+    z = 1 / (y * y)
+    far = F.ln(y) - 0.5 / y - z * (F.lit(1 / 12) - z * (F.lit(1 / 120) - z * (F.lit(1 / 252) - z * (F.lit(1 / 240) - z / 132))))
+    right = _polygamma(x, far, lambda v: -1 / v)
+    return F.when(_at_pole(c), NAN).when(c < 0.5, right - F.pi() * try_cot(c)).otherwise(right)
+
+
+def try_cot(c: Column) -> Column:
+    return F.try_divide(F.cos(F.pi() * c), F.sin(F.pi() * c))
+
+
+def trigamma(c: Column) -> Column:
+    """Second derivative of lgamma; Inf at the poles."""
+    c = c.cast("double")
+    x = F.when(c < 0.5, 1 - c).otherwise(c)
+    y = x + 8
+    z = 1 / (y * y)
+    far = 1 / y + z / 2 + z / y * (F.lit(1 / 6) - z * (F.lit(1 / 30) - z * (F.lit(1 / 42) - z * (F.lit(1 / 30) - z * 5 / 66))))
+    right = _polygamma(x, far, lambda v: 1 / (v * v))
+    sine = F.sin(F.pi() * c)
+    return F.when(_at_pole(c), INF).when(c < 0.5, F.try_divide(F.pi() * F.pi(), sine * sine) - right).otherwise(right)
+
+
 #: The math group; round is half to even.
 MATH: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "sign": F.signum, "sqrt": sqrt, "floor": F.floor, "ceiling": F.ceil,
@@ -58,6 +120,7 @@ MATH: dict[str, Callable[..., Column]] = {
     "cos": F.cos, "sin": F.sin, "tan": F.tan, "acos": F.acos, "asin": F.asin, "atan": F.atan, "cosh": F.cosh, "sinh": F.sinh, "tanh": F.tanh,
     "acosh": F.acosh, "asinh": F.asinh, "atanh": F.atanh,
     "cospi": lambda c: F.cos(c * F.pi()), "sinpi": lambda c: F.sin(c * F.pi()), "tanpi": lambda c: F.tan(c * F.pi()),
+    "lgamma": lgamma, "gamma": gamma, "digamma": digamma, "trigamma": trigamma,
 }
 
 #: Reducers: (aggregate over present values, result of an empty group once missing values are dropped).

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as C
 from ..dims import Dim, Dimensions
-from ..plans import interval_of, literal_array
+from ..plans import interval_of, literal_array, lookup
 
 
 def time_breaks(low: dt.date, high: dt.date, by: str) -> list[dt.date]:
@@ -132,7 +132,7 @@ class Aggregation:
 
         (fx, tx), (fy, ty) = side(x, "_x0", "_x1"), side(y, "_y0", "_y1")
         # few boxes meet many cells: the boxes' index ranges are equi-joined on the coarser axis
-        met = self._box_rows(table, y).withColumn("_w", fx * fy * (weights if weights is not None else F.lit(1.0))).where(tx & ty)
+        met = self._box_rows(table, y, len(boxes)).withColumn("_w", fx * fy * (weights if weights is not None else F.lit(1.0))).where(tx & ty)
         aggs = []
         for a in self.attrs:
             v = F.when(~C.is_na(F.col(a)), F.col(a))
@@ -144,7 +144,7 @@ class Aggregation:
         dims = Dimensions((Dim("geometry", len(boxes), values=tuple(map(tuple, boxes))), *[self.dims[n] for n in rest]), crs=self.dims.crs)
         return type(self)(out, dims, self.attrs)
 
-    def _box_rows(self, table: DataFrame, axis: str) -> DataFrame:
+    def _box_rows(self, table: DataFrame, axis: str, boxes: int) -> DataFrame:
         """Cells joined to boxes on the axis rows that a box spans."""
         d = self.dims[axis]
         low, high = d.bounds()
@@ -152,7 +152,7 @@ class Aggregation:
         i = [d.index(F.greatest(F.lit(low + eps), F.least(F.lit(high - eps), F.col(c)))) for c in ("_y0", "_y1")]
         rows = table.withColumn("_a", F.coalesce(F.least(*i), F.lit(1))).withColumn("_b", F.coalesce(F.greatest(*i), F.lit(d.n)))
         rows = rows.withColumn(axis, F.explode(F.expr("sequence(greatest(_a - 1, 1), _b + 1)")))
-        return self.df.join(F.broadcast(rows), axis)
+        return lookup(self.df, axis, rows, boxes * d.n)
 
     def area(self):
         """Cell areas of the raster: products of widths."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,8 @@ ORACLES: dict[str, str] = {}
 def _query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if sql:  # rounding may leave -0.0 there and 0.0 here: adding 0 makes it 0.0
+            ORACLES[f.__name__] = re.sub(r"\bround\(", "0e0 + round(", sql)
         return f
 
     return add
@@ -77,6 +78,11 @@ def _rounded(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """The size axis as the integer it was."""
+    return df.withColumn("size", F.col("size").cast("int"))
+
+
 # ------------------------------------------------------- projections, math
 
 
@@ -87,7 +93,7 @@ def sales_by_flag(spark, d):
 
 @_query(f"with {PARTS} select size, brand, round(price, 4) as price, n from p")
 def cube_from_table(spark, d):
-    return _rounded(parts(spark, d).long(), "price")
+    return _sized(_rounded(parts(spark, d).long(), "price"))
 
 
 @_query(f"with {Q} select x, y, round(v * 2 + 1, 6) as v from q")
@@ -137,14 +143,14 @@ def cut_breaks(spark, d):
     return raster(spark, d).cut([-1, -0.1, 0.1, 1]).df
 
 
-@_query(f"with {Q} select x, y, round(v, 6) as v, x - 0.5 as x_value from q")
+@_query(f"with {Q} select x, y, round(v, 6) as v, x - 0.5::double as x_value from q")
 def dim_to_attr(spark, d):
     return _rounded(raster(spark, d).dim_to_attr("x").df, "v", digits=6)
 
 
 @_query(f"with {PARTS} select size, brand, n in (1, 3) as n from p")
 def isin_values(spark, d):
-    return parts(spark, d).select("n").isin([1.0, 3.0]).long()
+    return _sized(parts(spark, d).select("n").isin([1.0, 3.0]).long())
 
 
 # --------------------------------------------------------------- subsetting
@@ -258,12 +264,46 @@ def cell_area(spark, d):
     return raster(spark, d).area().df
 
 
+# ----------------------------------------------- boxes, trends and classes
+
+
+@_query(f"with {Q} select o.x, o.y, round(avg(b.v), 4) as v from q o, range(-1, 2) s(i), range(-2, 3) t(j), q b where b.x = o.x + i and b.y = o.y + j group by all")
+def focal_mean(spark, d):
+    return _rounded(raster(spark, d).focal({"x": 1, "y": 2}, "mean", na_rm=True).df, "v")
+
+
+@_query(f"with {Q} select y, round(regr_slope(v, x - 0.5), 6) as v from q group by y")
+def apply_trend(spark, d):
+    return _rounded(raster(spark, d).trend("x").df, "v", digits=6)
+
+
+@_query(f"with {Q}, e as (select x, quantile_cont(v, 0.02) as a, quantile_cont(v, 0.98) as b from q group by x) select q.x, y, round(greatest(0, least(1, (v - a) / (b - a))), 4) as v from q join e using (x)")
+def stretch_percent(spark, d):
+    return _rounded(raster(spark, d).stretch("x").df, "v")
+
+
+@_query(f"with {Q}, b as (select i + 1 as bin, i / 10 - 0.5 as low, i / 10 - 0.4 as high from range(10) t(i)) select cast(bin as int) as bin, round(low, 3) as low, round(high, 3) as high, count(v) as n from b left join q on v > round(low, 1) and v <= round(high, 1) or bin = 1 and v = -0.5 group by all")
+def histogram(spark, d):
+    return _rounded(raster(spark, d).histogram([round(k / 10 - 0.5, 1) for k in range(11)]), "low", "high", digits=3)
+
+
+@_query(f"with {Q} select x, y, round(lgamma(abs(v) * 10 + 0.25), 4) as v from q")
+def math_lgamma(spark, d):
+    return _rounded(raster(spark, d).transmute(v=F.abs("v") * 10 + 0.25).math("lgamma").df, "v")
+
+
+@_query(f"with {Q}, g as (select v, x, y, 1 as a, 1 as b from q union all select v * 2, x, y, 2, 1 from q union all select v * 3, x, y, 1, 2 from q union all select v * 4, x, y, 2, 2 from q) select x, y, a, b, round(v, 6) as v from g")
+def concat_new_axes(spark, d):
+    c = raster(spark, d)
+    return _rounded(c.stack_axes(c * 2, c * 3, c * 4, along={"a": ["p", "q"], "b": [10, 20]}).df, "v", digits=6)
+
+
 # ------------------------------------------------------ combine and reshape
 
 
 @_query(f"with {PARTS} select size, brand, 'price' as attributes, round(price, 4) as value from p union all select size, brand, 'n', n from p")
 def merge_attrs(spark, d):
-    return _rounded(parts(spark, d).merge().long(), "value")
+    return _sized(_rounded(parts(spark, d).merge().long(), "value"))
 
 
 @_query(f"with {EVENTS} select day, " + ", ".join(f"max(n) filter (event_type = t[{k}]) as X{k}" for k in range(1, 6)) + " from e, (select list_sort(list(distinct event_type)) as t from e) group by day")
@@ -319,6 +359,14 @@ def extract_bilinear(spark, d):
     return _rounded(raster(spark, d).extract_bilinear(_points(spark, d)).select("pid", "v"), "v")
 
 
+@_query(f"""with {Q}, {P}, f as (select pid, floor(px + 0.5) as i, floor(py + 0.5) as j, px + 0.5 - floor(px + 0.5) as u, py + 0.5 - floor(py + 0.5) as w from pt),
+o as (select pid, i + a as x, j + b as y, abs(u - a) as du, abs(w - b) as dw from f, range(-1, 3) s(a), range(-1, 3) t(b)),
+n as (select pid, x, y, (case when du <= 1 then 1.5 * du ** 3 - 2.5 * du ** 2 + 1 else -0.5 * du ** 3 + 2.5 * du ** 2 - 4 * du + 2 end) * (case when dw <= 1 then 1.5 * dw ** 3 - 2.5 * dw ** 2 + 1 else -0.5 * dw ** 3 + 2.5 * dw ** 2 - 4 * dw + 2 end) as k from o)
+select pid, case when count(v) = 16 then round(sum(k * v), 4) end as v from n join q using (x, y) group by pid""")
+def extract_cubic(spark, d):
+    return _rounded(raster(spark, d).extract_cubic(_points(spark, d)).select("pid", "v"), "v")
+
+
 @_query(f"with {Q}, {P}, c as (select cast(floor(px) + 1 as int) as x, cast(floor(py) + 1 as int) as y, count(*) as n from pt group by 1, 2) select q.x, q.y, coalesce(n, 0) as n from q left join c on c.x = q.x and c.y = q.y")
 def count_in_cells(spark, d):
     return raster(spark, d).count_points(_points(spark, d)).df
@@ -359,7 +407,7 @@ def rgb_hex(spark, d):
 
 @_query(f"with {PARTS} select size, brand, round(2 + 0.5 * price - 3 * n, 3) as prediction from p")
 def predict_linear(spark, d):
-    return _rounded(parts(spark, d).predict_linear(2.0, {"price": 0.5, "n": -3.0}).long(), "prediction", digits=3)
+    return _rounded(parts(spark, d).predict_linear(2.0, {"price": 0.5, "n": -3.0}).long(), "prediction", digits=3).transform(_sized)
 
 
 @_query(f"with {PARTS}, c as (select var_samp(price) as a, covar_samp(price, n) as b, var_samp(n) as c from p) select 1 as component, round(sqrt((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)), 3) as sdev from c union all select 2, round(sqrt((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b)), 3) from c")

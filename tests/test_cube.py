@@ -134,3 +134,67 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 4.0)]
+
+
+def test_moving_boxes(spark):
+    rnd = np.random.default_rng(4)
+    a = np.round(rnd.normal(size=(7, 9)), 3)
+    a[2, 3] = a[0, 0] = np.nan
+    dims = Dimensions((Dim("x", 7, 0.0, 1.0), Dim("y", 9, 0.0, 1.0)), ("x", "y"))
+    full = Cube.from_arrays(spark, {"a": a}, dims)
+    sparse = full.with_df(full.df.where("not isnan(a)"))  # the missing cells are absent rows
+    for fun, f in {"sum": np.nansum, "mean": np.nanmean, "min": np.nanmin, "max": np.nanmax, "length": lambda v: np.count_nonzero(~np.isnan(v))}.items():
+        want, strict = np.full(a.shape, np.nan), np.full(a.shape, np.nan)
+        for i in range(7):
+            for j in range(9):
+                box = a[max(0, i - 1) : i + 2, max(0, j - 2) : j + 3]
+                want[i, j] = f(box)
+                if box.size == 15 and not np.isnan(box).any():
+                    strict[i, j] = f(box)
+        for c in (full, sparse):
+            assert np.allclose(array_of(c.focal({"x": 1, "y": 2}, fun, na_rm=True)), want)
+            assert np.allclose(array_of(c.focal({"x": 1, "y": 2}, fun)), strict, equal_nan=True)
+    with pytest.raises(ValueError, match="moving boxes"):
+        full.focal({"x": 1}, "median")
+    assert full.with_df(full.df.limit(0)).focal({"x": 1}, "sum").df.where("a is not null").count() == 0
+
+
+def test_trends_stretches_and_classes(spark):
+    a = np.arange(1.0, 41).reshape((4, 10))
+    a[1] = 5.0
+    c = Cube.from_arrays(spark, {"a": a}, Dimensions((Dim("b", 4, 0, 1), Dim("t", 10, 100.0, 2.0))))
+    assert array_of(c.trend("t")).tolist() == [0.5, 0.0, 0.5, 0.5]
+    got = array_of(c.stretch("b", (0.1, 0.9)))
+    low, high = np.quantile(a[0], [0.1, 0.9])
+    assert np.allclose(got[0], np.clip((a[0] - low) / (high - low), 0, 1)) and np.isnan(got[1]).all()
+    assert c.breaks(3) == [1.0, 14.0, 27.0, 40.0] and c.breaks(2, "quantile") == [1.0, float(np.median(a)), 40.0]
+    assert [r.n for r in c.histogram([1, 5, 20, 30, 35.5]).orderBy("bin").collect()] == [15, 5, 10, 5]  # row of 1..10, ten fives, 21..30, 31..35
+    big = c.stack_axes(c * 2, along={"k": ["p", "q"], "m": [7]})
+    assert big.dims.shape == (4, 10, 2, 1) and array_of(big)[0, 9].tolist() == [[10.0], [20.0]]
+    with pytest.raises(ValueError, match="multiply"):
+        c.stack_axes(c, along={"k": [1, 2, 3]})
+
+
+def test_gamma_family(spark):
+    import math
+
+    v = np.array([0.1, 0.5, 1.0, 1.5, 2.0, 3.7, 10.0, 25.5, -0.5, -1.5, -2.25])
+    c = Cube.from_arrays(spark, {"a": v}, Dimensions((Dim("x", len(v), 0, 1),)))
+    assert np.allclose(array_of(c.math("lgamma")), [math.lgamma(x) for x in v], atol=1e-12)
+    assert np.allclose(array_of(c.math("gamma")), [math.gamma(x) for x in v], rtol=1e-11)
+    h = 1e-5  # derivatives by differences
+    assert np.allclose(array_of(c.math("digamma")), [(math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h) for x in v], rtol=1e-6, atol=1e-6)
+    near = lambda d: array_of((c + d).math("digamma"))
+    assert np.allclose(array_of(c.math("trigamma")), (near(h) - near(-h)) / (2 * h), rtol=1e-5)
+    assert abs(array_of(c.math("digamma"))[2] + 0.5772156649015329) < 1e-12 and abs(array_of(c.math("trigamma"))[2] - math.pi**2 / 6) < 1e-12
+    pole = Cube.from_arrays(spark, {"a": np.array([0.0, -3.0])}, Dimensions((Dim("x", 2, 0, 1),)))
+    assert np.isposinf(array_of(pole.math("lgamma"))).all() and np.isnan(array_of(pole.math("digamma"))).all()
+
+
+def test_cubic_interpolation(spark):
+    x, y = np.meshgrid(np.arange(8) + 0.5, np.arange(6) + 0.5, indexing="ij")
+    dims = Dimensions((Dim("x", 8, 0.0, 1.0), Dim("y", 6, 0.0, 1.0)), ("x", "y"))
+    c = Cube.from_arrays(spark, {"a": 2 * x - 3 * y + x * y}, dims)
+    points = spark.createDataFrame([(1, 3.2, 2.9), (2, 4.5, 3.5), (3, 0.4, 3.0)], "pid int, px double, py double")
+    got = {r.pid: r.a for r in c.extract_cubic(points).collect()}
+    assert got[1] == pytest.approx(2 * 3.2 - 3 * 2.9 + 3.2 * 2.9) and got[2] == pytest.approx(9 - 10.5 + 15.75) and got[3] is None
