@@ -50,4 +50,4 @@ def scan_report(df: DataFrame) -> dict:
     """What a plan does with its scan: pushed filters, read schema, exchanges."""
     text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     pick = lambda k: [x.split(":", 1)[1].strip() for x in text.splitlines() if x.startswith(k)]
-    return {"pushed": pick("PushedFilters"), "read": pick("ReadSchema"), "exchanges": text.count("Exchange hashpartitioning")}
+    return {"pushed": pick("PushedFilters"), "read": pick("ReadSchema"), "exchanges": text.count("Arguments: hashpartitioning(")}

@@ -198,3 +198,12 @@ def test_cubic_interpolation(spark):
     points = spark.createDataFrame([(1, 3.2, 2.9), (2, 4.5, 3.5), (3, 0.4, 3.0)], "pid int, px double, py double")
     got = {r.pid: r.a for r in c.extract_cubic(points).collect()}
     assert got[1] == pytest.approx(2 * 3.2 - 3 * 2.9 + 3.2 * 2.9) and got[2] == pytest.approx(9 - 10.5 + 15.75) and got[3] is None
+
+
+def test_moving_boxes_plan(spark):
+    """Lines are shuffled once an axis; no nested loops and no single partition."""
+    from cubeloom.plans import scan_report
+
+    c = Cube.from_bbox(spark, (0, 0, 30, 20), nx=30, ny=20).focal({"x": 1, "y": 1}, "mean")
+    text = c.df._jdf.queryExecution().executedPlan().toString()
+    assert 2 <= scan_report(c.df)["exchanges"] <= 4 and "NestedLoop" not in text and "SinglePartition" not in text
