@@ -5,7 +5,8 @@ pages of one template fold into a few forms.  The forms of a host are aligned
 one by one: equal tokens match, a mismatch becomes an optional part, a repeat
 or a text slot, and the result is the host's wrapper.  Each slot of the wrapper
 is then main text or boilerplate by the tags it stands under, and a page's text
-is that of its main slots, in page order.
+is that of its main slots, in page order.  Whether only an article's slots count
+is up to each page, as a host may have templates with and without one.
 
 Only distinct forms reach the task of a host, never its pages.
 """
@@ -169,28 +170,24 @@ def infer_wrapper(forms: list[list[str]]) -> list[str]:
 
 
 def main_slots(wrapper: list[str]) -> set[str]:
-    """Paths of the wrapper's slots that hold main text.
-
-    Slots under a boilerplate element are out, except that a header inside the
-    article stays.  If the wrapper has an article or main element, only slots
-    under it are in.
-    """
-    paths = {w.rstrip("+?") for w in wrapper}
-
-    def parts(p: str) -> list[str]:
-        return p.split("/") if p else []
+    """Paths of the wrapper's slots that may hold main text: not under a boilerplate element, except that a header inside the article stays."""
 
     def clean(p: str) -> bool:
         inside = False
-        for x in parts(p):
+        for x in p.split("/"):
             if x.endswith("!") or x in BOILER or (x == "header" and not inside):
                 return False
             inside |= x in MAIN
         return True
 
-    ok = {p for p in paths if clean(p)}
-    held = {p for p in ok if any(x in MAIN for x in parts(p))}
-    return held or ok
+    return {p for p in (w.rstrip("+?") for w in wrapper) if clean(p)}
+
+
+def main_text(blocks: list[tuple[str, str]], slots: set[str]) -> str:
+    """Text of a page's main slots; if the page itself has slots under an article or main element, of those only."""
+    kept = [(p, t) for p, t in blocks if p in slots]
+    held = [t for p, t in kept if not MAIN.isdisjoint(p.split("/"))]
+    return " ".join(held or [t for _, t in kept])
 
 
 def form_of(page: str | None) -> str:
@@ -239,7 +236,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 main = set(slots or ())
-                texts.append(" ".join(t for p, t in blocks_of(page or "") if p in main))
+                texts.append(main_text(blocks_of(page or ""), main))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -135,6 +135,17 @@ def test_html(spark):
     assert wrapper[:2] == ["a", "b+?"] and sorted(wrapper[2:]) == ["c?", "d?"]  # c and d exclude each other: either order
 
 
+def test_html_host_with_two_kinds_of_template(spark):
+    """A page without an article keeps its text, whatever other pages of its host (or of the empty host) have."""
+    plain = "<body><nav>menu</nav><div><p>plain %s</p></div><footer>foot</footer></body>"
+    rows = []
+    for k, url in enumerate(["http://h.com/%d", None, "no scheme"]):
+        rows += [(10 * k, url and url.replace("%d", "0"), PAGE % "<p>One</p>"), (10 * k + 1, url and url.replace("%d", "1"), plain % k)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(df).collect()}
+    assert got == {0: "Head & line One", 1: "plain 0", 10: "Head & line One", 11: "plain 1", 20: "Head & line One", 21: "plain 2"}
+
+
 def test_decontamination(spark, docs, corpus, monkeypatch):
     texts = dict(corpus)
     long = next(t for t in texts.values() if t and t.count(" ") > 200)
