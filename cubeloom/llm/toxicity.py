@@ -8,17 +8,20 @@ scored beside the text as written.  Spans without such marks have one path
 through the lattice, themselves, and are not decoded.
 
 The score is a noisy-or over learned terms (whole words and word beginnings)
-that labelled toxic texts hold and others do not.  Terms and the character
-model are fitted on at most TRAIN_ROWS labelled rows of at most TRAIN_BYTES each
-(both classes; a bound of 48 MB); scoring reads every text whole.
+that labelled toxic texts hold and others do not.  The character model counts
+the trigrams of all documents, labelled or not.  Terms are fitted on at most
+TRAIN_ROWS labelled rows of at most TRAIN_BYTES each (both classes; a bound of
+48 MB); scoring reads every text whole.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 8_000
+#: Distinct trigrams that a task counts before it hands them on, and scores that a model remembers.
+HELD_TRIGRAMS = 200_000
 #: A term needs this many toxic texts and this share of them; every toxic text is covered up to COVER times.
 LEAST, PRECISION, COVER, TERMS = 3, 0.95, 4, 400
 #: Byte lengths of word beginnings used as terms.
@@ -45,23 +50,82 @@ SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!|+][ .\-_*]){3,30}[a-z0-9@$!|+](?!
 RUN = re.compile(r"(?:[^\W_]|[@$!|+]){3,40}")
 
 
+@functools.cache
+def _letter_table() -> np.ndarray:
+    """Of each code point, whether it is in [^\\W\\d_]."""
+    return np.fromiter(((c := chr(n)).isalnum() and not c.isdecimal() for n in range(0x110000)), bool, 0x110000)
+
+
+def count_trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(trigrams packed by 21 bits a letter, counts) over the lower-case words of the texts, with ^ at both ends."""
+    x = np.frombuffer(f"  {' '.join(texts).lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = np.where(_letter_table()[x], x, ord("^"))
+    seen = np.flatnonzero(np.bincount(x))
+    k = len(seen)
+    code = np.zeros(seen[-1] + 1, np.int64)
+    code[seen] = np.arange(k)
+    edge, x = code[ord("^")], code[x]
+    one, two, three = x[:-2], x[1:-1], x[2:]
+    one = np.where(two == edge, edge, one)
+    key = ((one * k + two) * k + three)[(two != edge) | (three != edge)]
+    if k**3 <= 1 << 22:
+        count = np.bincount(key)
+        key = np.flatnonzero(count)
+        count = count[key]
+    else:
+        key, count = np.unique(key, return_counts=True)
+    return (seen[key // (k * k)] << 42) | (seen[key // k % k] << 21) | seen[key % k], count
+
+
+def corpus_trigrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(packed trigrams in order, counts) over all texts; counted in each task first, so the shuffle and the result follow the alphabet."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["trigram", "n"])
+
+        for batch in batches:
+            for _, data, offsets in C.text_steps(batch):
+                raw = data.tobytes()
+                key, n = count_trigrams([raw[a:b].decode() for a, b in itertools.pairwise(offsets.tolist())])
+                held.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
+                if len(held) > HELD_TRIGRAMS:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    got = docs.select("text").mapInArrow(count, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
+    key, n = got.column("trigram").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 class CharacterModel:
     """Trigram log probabilities over the letters of words, with ^ at both ends."""
 
-    def __init__(self, texts: list[str]):
-        words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) <= 40)
-        three, two = Counter(), Counter()
-        for w, k in words.items():
-            k = min(k, 50)
-            s = f"^^{w}^"
-            for i in range(2, len(s)):
-                three[s[i - 2 : i + 1]] += k
-                two[s[i - 2 : i]] += k
-        self.size = max(2, len({c for w in words for c in w}) + 1)
-        self.three, self.two = dict(three), dict(two)
+    def __init__(self, trigrams: np.ndarray, counts: np.ndarray):
+        self.three, self.counts = trigrams, counts
+        self.two, first = np.unique(trigrams >> 21, return_index=True)
+        self.sums = np.add.reduceat(counts, first) if len(first) else counts
+        self.size = max(2, len(np.unique(trigrams & 0x1FFFFF)))
+        self.memo: dict[str, float] = {}
+
+    @staticmethod
+    def _count(keys: np.ndarray, counts: np.ndarray, key: int) -> int:
+        at = int(np.searchsorted(keys, key))
+        return int(counts[at]) if at < len(keys) and keys[at] == key else 0
 
     def score(self, a: str, b: str, c: str) -> float:
-        return math.log((self.three.get(a + b + c, 0) + 0.1) / (self.two.get(a + b, 0) + 0.1 * self.size))
+        found = self.memo.get(a + b + c)
+        if found is None:
+            two = ord(a) << 21 | ord(b)
+            found = math.log((self._count(self.three, self.counts, two << 21 | ord(c)) + 0.1) / (self._count(self.two, self.sums, two) + 0.1 * self.size))
+            if len(self.memo) >= HELD_TRIGRAMS:
+                self.memo.clear()
+            self.memo[a + b + c] = found
+        return found
 
     def decode(self, span: str, joined: bool) -> str:
         """The best restored word of a span, by Viterbi over its lattice; states are the last two letters."""
@@ -137,8 +201,8 @@ def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class ToxicityModel:
     """Learned terms (sorted hashes and their weights) and the character model."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
-        self.characters = CharacterModel(texts)
+    def __init__(self, texts: list[str], toxic: list[int], characters: CharacterModel):
+        self.characters = characters
         self.decode = functools.lru_cache(100_000)(self.characters.decode)
         both = {t: int(x) for t, x in zip(texts, toxic, strict=True)}  # copies count once
         bad = [t for t, x in both.items() if x]
@@ -226,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, rows
     # one text a doc_id, however often it is repeated
     got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r.h, r.doc_id))
-    return ToxicityModel([r.text for r in got], [r.toxic for r in got]) if got else None
+    return ToxicityModel([r.text for r in got], [r.toxic for r in got], CharacterModel(*corpus_trigrams(docs))) if got else None
 
 
 def scan(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:

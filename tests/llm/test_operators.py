@@ -282,6 +282,21 @@ def test_toxicity(spark):
     assert [r.predicted for r in toxicity.toxicity(odd, marks, model).orderBy("doc_id").collect()] == [0, 0, 1, 1, 1, 0]
 
 
+def test_toxicity_character_model_counts_all_documents(spark):
+    """Unlabelled, long, repeated and frequent words count, each as often as it occurs."""
+    texts = ["Loser é'a 1b"] * 60 + [None, "", "é" * 45 + " " + "漢字" * 9, prose(4000), "".join(map(chr, range(0x4E00, 0x4F00)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = collections.Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            want.update(f"^^{w}^"[i : i + 3] for i in range(len(w) + 1))
+    keys, counts = toxicity.corpus_trigrams(docs)
+    assert {chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF): n for k, n in zip(keys.tolist(), counts.tolist(), strict=True)} == want
+    model = toxicity.train(docs, spark.createDataFrame([(0, 1), (61, 0)], "doc_id long, toxic int"), held=9)
+    assert model.characters.score("l", "o", "s") == pytest.approx(np.log((want["los"] + 0.1) / (sum(n for k, n in want.items() if k[:2] == "lo") + 0.1 * model.characters.size)))
+    assert toxicity.corpus_trigrams(docs.limit(0))[0].size == 0
+
+
 def test_quality(spark):
     d, marks = common.documents(spark, SF), common.documents(spark, SF, "labels")
     got = quality.quality(d, marks).join(marks, "doc_id").collect()
