@@ -2,10 +2,12 @@
 
 Spans that may hide a word (letters mixed with digits or signs, letters spaced
 out, letters repeated) become character lattices: each sign may stand for
-letters, a run for one or two letters, a separator for nothing.  Viterbi
-decoding under a character trigram model picks the restored words, which are
-scored beside the text as written.  Spans without such marks have one path
-through the lattice, themselves, and are not decoded.
+letters, a run for one or two letters, a separator for nothing or for the end
+of a word.  Viterbi decoding under a character trigram model picks the restored
+words, which are scored beside the text as written; of letters spaced out, all
+words on paths nearly as good as the best are taken, as trigrams alone can't
+tell where words end.  Spans without such marks have one path through the
+lattice, themselves, and are not decoded.
 
 The score is a noisy-or over learned terms (whole words and word beginnings)
 that labelled toxic texts hold and others do not.  The character model counts
@@ -39,15 +41,25 @@ LEAST, PRECISION, COVER, TERMS = 3, 0.95, 4, 400
 STARTS = (4, 5, 6, 7, 8)
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+#: Words of one letter, as they stand beside spaced words; digits and signs count as such too.
+SINGLES = frozenset("aeiouyàèéó0123456789@$!|+")
 #: Log costs of the channel.
-SUBSTITUTE, COLLAPSE, JOIN, UNREAD = -1.0, -0.5, -0.5, -25.0
+SUBSTITUTE, COLLAPSE, UNREAD = -1.0, -0.5, -25.0
+#: Least log cost of a word of SINGLES, what a word may lose against the best path, and letters of a word between separators.
+ALONE, SLACK, WORD = -8.0, 8.0, 32
 
 LETTERS = C.byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 PLAIN = C.byte_table(lambda b: 97 <= b <= 122)
 SIGNS = C.byte_table(lambda b: chr(b) in LEET)
-GAPS = C.byte_table(lambda b: b in b" .-_*")
-SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!|+][ .\-_*]){3,30}[a-z0-9@$!|+](?![^\W_])")
-RUN = re.compile(r"(?:[^\W_]|[@$!|+]){3,40}")
+#: Separators of spaced letters: white space and punctuation, as bytes (and as first bytes of longer ones) and in a pattern.
+GAPS = C.byte_table(lambda b: b < 128 and not chr(b).isalnum() and chr(b) not in LEET)
+WIDE_GAPS = C.byte_table(lambda b: b in (0xC2, 0xE2, 0xE3))
+_GAP = r"[\x00-\x20\"#%&'()*,\-./:;<=>?\[\\\]^_`{}~\x7f-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\u2000-\u206f\u3000-\u3003]"
+SPACED = re.compile(rf"(?<![^\W_])(?:([^\W_]|[@$!|+])\1*{_GAP}+){{2,}}([^\W_]|[@$!|+])\2*(?![^\W_])")
+GAP = re.compile(f"{_GAP}+")
+RUN = re.compile(r"(?:[^\W_]|[@$!|+])+")
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
+LONGER = re.compile(r"(.)\1{3,}", re.S)
 
 
 @functools.cache
@@ -127,54 +139,119 @@ class CharacterModel:
             self.memo[a + b + c] = found
         return found
 
-    def decode(self, span: str, joined: bool) -> str:
-        """The best restored word of a span, by Viterbi over its lattice; states are the last two letters."""
-        if joined:
-            span = span[::2]
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", span, re.S)]
-        states: dict[str, tuple[float, str]] = {"^^": (JOIN if joined else 0.0, "")}
-        for char, size in runs:
-            letters = LEET.get(char) or (char if char.isalpha() else "")
-            new: dict[str, tuple[float, str]] = {}
-            for last, (cost, word) in states.items():
-                ways = [(UNREAD, "")] if char in LEET else []
-                for x in letters:
-                    base = 0.0 if x == char else SUBSTITUTE
-                    ways += [(base + (COLLAPSE if size > k else 0.0), x * k) for k in {1, min(size, 2)}]
-                for extra, out in ways:
-                    a, total = last, cost + extra
-                    for x in out:
-                        total += self.score(a[0], a[1], x)
-                        a = a[1] + x
-                    if a not in new or total > new[a][0]:
-                        new[a] = (total, word + out)
-            states = new or states
-        return max(((v[0] + self.score(k[0], k[1], "^"), v[1]) for k, v in states.items()), default=(0.0, ""))[1]
+    def _step(self, states: dict, char: str, size: int) -> dict:
+        """States (the last two letters) after a run; a path is (last piece, the path before it), so a step costs the same however long the word."""
+        new: dict[str, tuple[float, tuple | None]] = {}
+        letters = LEET.get(char) or (char if char.isalpha() else "")
+        for last, (cost, path) in states.items():
+            ways = [(UNREAD, "")] if char in LEET else []
+            for x in letters:
+                base = 0.0 if x == char else SUBSTITUTE
+                ways += [(base + (COLLAPSE if size > k else 0.0), x * k) for k in {1, min(size, 2)}]
+            for extra, out in ways:
+                a, total = last, cost + extra
+                for x in out:
+                    total += self.score(a[0], a[1], x)
+                    a = a[1] + x
+                if a not in new or total > new[a][0]:
+                    new[a] = (total, (out, path))
+        return new or states
+
+    def _end(self, states: dict) -> tuple[float, tuple | None]:
+        return max(((v[0] + self.score(k[0], k[1], "^"), v[1]) for k, v in states.items()), key=lambda x: x[0])
+
+    def decode(self, span: str) -> str:
+        """The best restored word of a span, by Viterbi over its lattice."""
+        states = {"^^": (0.0, None)}
+        for m in re.finditer(r"(.)\1*", span, re.S):
+            states = self._step(states, m[0][0], len(m[0]))
+        return _path_text(self._end(states)[1])
+
+    def decode_spaced(self, span: str) -> list[str]:
+        """Restored words of a spaced span (one space at each separator): all of it as one word, and each word of
+        up to WORD letters between two separators whose best path through the lattice loses at most SLACK."""
+        parts = span.split(" ")
+        n = len(parts)
+        out = [self.decode("\n".join(parts))]
+        if not any(c.isalpha() for c in span):
+            return out
+        cost: list[list[tuple[float, tuple | None]]] = []
+        for i in range(n):
+            states, row = {"^^": (0.0, None)}, []
+            for x in parts[i : i + WORD]:
+                states = self._step(states, x[0], len(x))
+                row.append(self._end(states))
+            if parts[i] in SINGLES:
+                row[0] = (max(row[0][0], ALONE), row[0][1])
+            cost.append(row)
+        before, after = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for i in range(n):
+            for k, (c, _) in enumerate(cost[i]):
+                before[i + k + 1] = max(before[i + k + 1], before[i] + c)
+        for i in reversed(range(n)):
+            after[i] = max(c + after[i + k + 1] for k, (c, _) in enumerate(cost[i]))
+        for i in range(n):
+            out += [_path_text(path) for k, (c, path) in enumerate(cost[i]) if k and before[i] + c + after[i + k + 1] >= before[n] - SLACK]
+        return out
+
+
+def _path_text(path: tuple | None) -> str:
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out))
+
+
+def _spaced_texts(data: np.ndarray, offsets: np.ndarray, mark: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Texts with three letters or signs on their own in a row, between gaps of any length."""
+    kind = np.where(gap, 0, data)
+    at = np.flatnonzero(gap | (data < 0x80) | (data >= 0xC0))  # further bytes of a character go with its first
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    fresh = np.concatenate(([True], (kind[at[1:]] != kind[at[:-1]]) | (doc[1:] != doc[:-1])))[: len(at)]
+    at, doc = at[fresh], doc[fresh]
+    if len(at) < 5:
+        return np.zeros(0, np.int64)
+    m, g = mark[at] & ~gap[at], gap[at]
+    # m, g, m, g, m of one text; the letters of a longer word at either end are left to the pattern
+    found = m[:-4] & g[1:-3] & m[2:-2] & g[3:-1] & m[4:] & (doc[:-4] == doc[4:])
+    return doc[:-4][found]
 
 
 def suspect_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts with a span worth decoding: a sign beside letters, a letter three times, or letters spaced out."""
+    """Texts with a span worth decoding: a sign beside a letter on either side, a letter three times, or letters spaced out."""
     n = len(data)
-    if n < 3:
+    if n < 2:
         return np.zeros(0, np.int64)
-    letter, plain, sign = LETTERS[data], PLAIN[data], SIGNS[data]
-    digit = (data >= 48) & (data <= 57)
-    hits = [np.flatnonzero(sign[1:-1] & letter[2:] & (letter[:-2] | sign[:-2] | digit[1:-1])), np.flatnonzero(letter[:-1] & (sign & digit)[1:]), np.flatnonzero(sign[:-1] & letter[1:]), np.flatnonzero(plain[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2]))]
-    if n >= 7:
-        mark, gap = plain | sign, GAPS[data]
-        hits.append(np.flatnonzero(mark[:-6] & gap[1:-5] & mark[2:-4] & gap[3:-3] & mark[4:-2] & gap[5:-1] & mark[6:]))
-    return np.unique(np.searchsorted(offsets, np.concatenate(hits), side="right") - 1)
-
-
-def restored(text: str, decode) -> list[str]:
+    letter, sign = LETTERS[data], SIGNS[data]
+    hits = [np.flatnonzero(letter[:-1] & (sign & (data >= 48) & (data <= 57))[1:]), np.flatnonzero(sign[:-1] & letter[1:])]
+    if n >= 3:
+        hits.append(np.flatnonzero(PLAIN[data[2:]] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])))
+    for size, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        first = np.flatnonzero((data >= low) & (data < high))
+        for j in range(2 * size):
+            first = first[first + j + size < n]
+            first = first[data[first + j] == data[first + j + size]]
+        hits.append(first)
+    docs = [np.searchsorted(offsets, np.concatenate(hits), side="right") - 1]
+    mark, gap = LETTERS[data] | SIGNS[data], GAPS[data]
+    docs.append(_spaced_texts(data, offsets, mark, gap))
+    wide = np.flatnonzero(WIDE_GAPS[data])
+    if len(wide):
+        docs.append(_spaced_texts(data, offsets, mark, gap | WIDE_GAPS[data]))
+    return np.unique(np.concatenate(docs))
+
+
+def restored(text: str, decode, decode_spaced) -> list[str]:
     """Restored words of a lower-case text's suspect spans."""
-    out = [decode(m[0], True) for m in SPACED.finditer(text)]
+    text = LONGER.sub(r"\1\1\1", text)
+    out = [w for m in SPACED.finditer(text) for w in decode_spaced(GAP.sub(" ", m[0]))]
     for m in RUN.finditer(text):
         s = m[0]
-        if (not s.isalpha() and any(c.isalpha() for c in s) and any(c in LEET for c in s)) or re.search(r"([a-z])\1\1", s):
-            out.append(decode(s, False))
-            if (core := s.rstrip("!|+$@")) != s and (not core.isalpha() or re.search(r"([a-z])\1\1", core)):
-                out.append(decode(core, False))
+        if (not s.isalpha() and any(c.isalpha() for c in s) and any(c in LEET for c in s)) or TRIPLE.search(s):
+            out.append(decode(s))
+            if (core := s.rstrip("!|+$@")) != s and (not core.isalpha() or TRIPLE.search(core)):
+                out.append(decode(core))
             elif core != s:
                 out.append(core)
     return out
@@ -198,12 +275,18 @@ def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return C.lower_ascii(np.frombuffer(b"".join(raw), np.uint8)), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
 
 
+def _remembered(decode):
+    """Restored words of short spans are kept."""
+    short = functools.lru_cache(100_000)(decode)
+    return lambda span: short(span) if len(span) <= 64 else decode(span)
+
+
 class ToxicityModel:
     """Learned terms (sorted hashes and their weights) and the character model."""
 
     def __init__(self, texts: list[str], toxic: list[int], characters: CharacterModel):
         self.characters = characters
-        self.decode = functools.lru_cache(100_000)(self.characters.decode)
+        self._remember()
         both = {t: int(x) for t, x in zip(texts, toxic, strict=True)}  # copies count once
         bad = [t for t, x in both.items() if x]
         good = [t for t, x in both.items() if not x]
@@ -212,6 +295,9 @@ class ToxicityModel:
         if bad:
             self._learn(bad, good)
 
+    def _remember(self) -> None:
+        self.decode, self.decode_spaced = _remembered(self.characters.decode), _remembered(self.characters.decode_spaced)
+
     def _learn(self, bad: list[str], good: list[str]) -> None:
         key, doc = term_hashes(*_packed(bad))
         pair = np.unique(np.stack([key, doc.astype(C.U64)], axis=1), axis=0)
@@ -259,7 +345,7 @@ class ToxicityModel:
         hits = [self._hits(data, offsets)]
         of = suspect_texts(data, offsets)
         if len(of):
-            words = ["\n".join(restored(raw[offsets[i] : offsets[i + 1]].decode().lower(), self.decode)) for i in of]
+            words = ["\n".join(restored(raw[offsets[i] : offsets[i + 1]].decode().lower(), self.decode, self.decode_spaced)) for i in of]
             k, d = self._hits(*_packed(words))
             hits.append((k, of[d]))
         k, d = (np.concatenate(x) for x in zip(*hits, strict=True))
@@ -274,11 +360,11 @@ class ToxicityModel:
         return pos[ok], doc[ok]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "decode"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("decode", "decode_spaced")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.decode = functools.lru_cache(100_000)(self.characters.decode)
+        self._remember()
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ToxicityModel | None:

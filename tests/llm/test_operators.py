@@ -297,6 +297,28 @@ def test_toxicity_character_model_counts_all_documents(spark):
     assert toxicity.corpus_trigrams(docs.limit(0))[0].size == 0
 
 
+@pytest.fixture(scope="module")
+def toxic_model():
+    rnd = random.Random(3)
+    texts = [prose(40, rnd) for _ in range(200)]
+    texts[:60] = [f"{t} {w} {prose(5, rnd)}" for t, w in zip(texts, ["loser", "moron", "scum", "idiot", "fag", "connard"] * 10, strict=False)]
+    return toxicity.ToxicityModel(texts, [1] * 60 + [0] * 140, toxicity.CharacterModel(*toxicity.count_trigrams(texts)))
+
+
+def toxic_scores(model, texts):
+    return [x > 0.7 for x in model.scores(*toxicity._packed(texts))]
+
+
+def test_toxicity_lattice(toxic_model):
+    """Separators as nothing or word ends and of any length, short and long spans, non-ASCII letters, long runs."""
+    bad = ["what a l o s e r", "a m o r o n i think", "s - c - u - m", "f a g", "x " * 40 + "l o s e r", "l o s e r a n d m o r o n", "l\u2013o\u2013s\u2013e\u2013r", "i\nd\n\n1\no\nt", "c o n n @ r d", "lo" + "s" * 45 + "er", "l" * 60 + "0ser"]
+    assert toxic_scores(toxic_model, bad) == [True] * len(bad)
+    good = ["a b c d e", "1 2 3 4 5 6 7", "x " * 400, "version 2.0", "s . c", "é à ö", "", "a" * 50_000]
+    assert toxic_scores(toxic_model, good) == [False] * len(good)
+    assert "été" in toxicity.restored("é t é", toxic_model.decode, toxic_model.decode_spaced)
+    assert toxic_model.decode("ab0" * 20_000).startswith("aboabo")  # in proportion to the length
+
+
 def test_quality(spark):
     d, marks = common.documents(spark, SF), common.documents(spark, SF, "labels")
     got = quality.quality(d, marks).join(marks, "doc_id").collect()
