@@ -224,7 +224,7 @@ def suspect_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.zeros(0, np.int64)
     letter, sign = LETTERS[data], SIGNS[data]
-    hits = [np.flatnonzero(letter[:-1] & (sign & (data >= 48) & (data <= 57))[1:]), np.flatnonzero(sign[:-1] & letter[1:])]
+    hits = [np.flatnonzero(letter[:-1] & sign[1:]), np.flatnonzero(sign[:-1] & letter[1:])]
     if n >= 3:
         hits.append(np.flatnonzero(PLAIN[data[2:]] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])))
     for size, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):

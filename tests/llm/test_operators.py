@@ -319,6 +319,17 @@ def test_toxicity_lattice(toxic_model):
     assert toxic_model.decode("ab0" * 20_000).startswith("aboabo")  # in proportion to the length
 
 
+def test_toxicity_suspects_hold_all_restored(toxic_model):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("aab01$+!é漢 \n-\u2013_\u00b7") for _ in range(rnd.randrange(14))) for _ in range(4000)]
+    data, offsets = toxicity._packed(texts)
+    found = set(toxicity.suspect_texts(data, offsets).tolist())
+    some = {i for i, t in enumerate(texts) if toxicity.restored(t, str, lambda x: [x])}
+    assert some and some <= found
+    bad = ["idio+", "you idio+ ", "$cum", "loser|"]
+    assert toxic_scores(toxic_model, bad) == [True] * 4 and toxic_scores(toxic_model, ["great!", "5+"]) == [False] * 2
+
+
 def test_quality(spark):
     d, marks = common.documents(spark, SF), common.documents(spark, SF, "labels")
     got = quality.quality(d, marks).join(marks, "doc_id").collect()
