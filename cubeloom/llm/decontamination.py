@@ -13,6 +13,8 @@ parts mean more passes over the documents, so its size has a bound.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import hashlib
 
 import numpy as np
@@ -129,12 +131,12 @@ def _hits(array: ShardSuffixArray, test: TestSuffixes, n: int) -> tuple[np.ndarr
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // PART_BYTES) or 1
     for k in range(n):
-        yield [(r.item_id, r.text) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).collect()]
+        yield [(r.item_id, r.text) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -142,7 +144,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     Null and blank texts have no words and no hits.  Items without words are
     nobody's; an item shorter than a window is one window; equal items all
-    count.  A text is taken whole, however long; repeated rows count each.
+    count, an item_id once for a text, and items without item_id hit but aren't
+    named.  A text is taken whole, however long; repeated rows count each.
     """
     spark = docs.sparkSession
     out = docs
@@ -163,12 +166,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 if first:
                     words = np.diff(bounds)
                     masks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    found = [sorted(test.names[i] for i in x) for x in items]
+                    found = [sorted({test.names[i] for i in x} - {None}) for x in items]
                 else:
                     words = part.column(n_cols).to_numpy()
                     old = part.column(n_cols + 1).to_pylist()
                     masks = [(np.packbits(hit[a:b]) | np.frombuffer(m, np.uint8)).tobytes() for a, b, m in zip(bounds[:-1], bounds[1:], old, strict=True)]
-                    found = [sorted({*(test.names[i] for i in x), *y}) for x, y in zip(items, part.column(n_cols + 2).to_pylist(), strict=True)]
+                    found = [sorted({*(test.names[i] for i in x), *y} - {None}) for x, y in zip(items, part.column(n_cols + 2).to_pylist(), strict=True)]
                 done = pa.array([int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks], pa.int64()) if last else pa.array(masks, pa.binary())
                 return [pa.array(words, pa.int64()), done, pa.array(found, pa.list_(pa.string()))]
 
@@ -202,7 +205,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     out = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for items in _parts(benchmark):
+    for items in _parts(benchmark.where("item_id is not null")):
         index = spark.sparkContext.broadcast(TestSuffixes(items, window))
 
         def find(batches, index=index):

@@ -178,6 +178,16 @@ def test_decontamination(spark, docs, corpus, monkeypatch):
     assert decontamination.decontamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_null_and_repeated_item_ids(spark, monkeypatch):
+    a, b = prose(20), "other " + prose(20)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, a), (7, a), (None, b), (None, a)], "item_id long, text string")
+    for size in (decontamination.PART_BYTES, 60):
+        monkeypatch.setattr(decontamination, "PART_BYTES", size)
+        got = {r.doc_id: (r.item_ids, r.contaminated) for r in decontamination.decontamination(docs, bench).collect()}
+        assert got == {1: (["7"], True), 2: ([], True), 3: ([], False)}
+
+
 def test_bpe(spark, docs, corpus):
     from tokenizers import Tokenizer
 
