@@ -33,14 +33,18 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 class Scratch:
     """Tables in the folder that driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder stands in.  ``save`` cuts the lineage by
+    The folder comes from ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs in this very process (local tests) a temporary folder stands in.  ``save`` cuts the lineage by
     writing Parquet, so a lost executor costs a re-read and no recomputation.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.gettempdir()
         self.root = f"{base.rstrip('/')}/cubeloom-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -27,7 +27,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = decontamination.decontamination(common.documents(spark, sf_dir), common.documents(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "longest_words", "longest_start", "longest_item",
     )
 
 
