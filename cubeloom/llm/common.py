@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U64 = np.uint64
-#: Bytes of text that one vectorised step takes at a time (or one document).
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step takes at a time (or one document); arrays of a step take up to 100 bytes for each.
+STEP_BYTES = 1 << 18
 #: Bytes of one hashing block.
 BLOCK = 1 << 19
 
@@ -244,6 +244,12 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def stretch(text: str, doc_id: str, size: int) -> Column:
+    """A text of at most ``size`` characters whole; of a longer one, ``size`` characters from a place that its doc_id picks."""
+    spare = F.greatest(F.char_length(text) - size, F.lit(0))
+    return F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(doc_id).cast("string")), (spare + 1).cast("long")) + 1).cast("int"), F.lit(size))
+
+
 def bounded_sample(docs: DataFrame, usable: Column, rows: int, seed: int, marks: DataFrame | None = None) -> DataFrame:
     """At most ``rows`` documents for a fit: distinct doc_ids (with the columns of ``marks``) and h, smallest hashes first.
 

@@ -12,8 +12,8 @@ lattice, themselves, and are not decoded.
 The score is a noisy-or over learned terms (whole words and word beginnings)
 that labelled toxic texts hold and others do not.  The character model counts
 the trigrams of all documents, labelled or not.  Terms are fitted on at most
-TRAIN_ROWS labelled rows of at most TRAIN_BYTES each (both classes; a bound of
-48 MB); scoring reads every text whole.
+TRAIN_ROWS labelled rows (both classes), of a longer text on one stretch of
+TRAIN_CHARS characters at a place its doc_id picks; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TRAIN_ROWS, TRAIN_BYTES = 6_000, 8_000
-#: Distinct trigrams that a task counts before it hands them on, and scores that a model remembers.
-HELD_TRIGRAMS = 200_000
+TRAIN_ROWS, TRAIN_CHARS = 6_000, 8_000
+#: Distinct trigrams that a task counts before it hands them on, and scores and restored spans that a model remembers.
+HELD_TRIGRAMS, HELD_SPANS = 50_000, 20_000
 #: A term needs this many toxic texts and this share of them; every toxic text is covered up to COVER times.
-LEAST, PRECISION, COVER, TERMS = 3, 0.95, 4, 400
+LEAST, PRECISION, COVER = 3, 0.95, 4
 #: Byte lengths of word beginnings used as terms.
 STARTS = (4, 5, 6, 7, 8)
 #: Letters that a sign may stand for.
@@ -45,12 +45,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SINGLES = frozenset("aeiouyàèéó0123456789@$!|+")
 #: Log costs of the channel.
 SUBSTITUTE, COLLAPSE, UNREAD = -1.0, -0.5, -25.0
-#: Least log cost of a word of SINGLES, what a word may lose against the best path, and letters of a word between separators.
-ALONE, SLACK, WORD = -8.0, 8.0, 32
+#: Least log cost of a word of SINGLES, and what a word may lose against the best path.
+ALONE, SLACK = -8.0, 8.0
 
 LETTERS = C.byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 PLAIN = C.byte_table(lambda b: 97 <= b <= 122)
 SIGNS = C.byte_table(lambda b: chr(b) in LEET)
+ALNUM = C.byte_table(lambda b: b < 128 and chr(b).isalnum())
 #: Separators of spaced letters: white space and punctuation, as bytes (and as first bytes of longer ones) and in a pattern.
 GAPS = C.byte_table(lambda b: b < 128 and not chr(b).isalnum() and chr(b) not in LEET)
 WIDE_GAPS = C.byte_table(lambda b: b in (0xC2, 0xE2, 0xE3))
@@ -59,6 +60,7 @@ SPACED = re.compile(rf"(?<![^\W_])(?:([^\W_]|[@$!|+])\1*{_GAP}+){{2,}}([^\W_]|[@
 GAP = re.compile(f"{_GAP}+")
 RUN = re.compile(r"(?:[^\W_]|[@$!|+])+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+MARK = re.compile(r"[^\W\d_][0-9@$!|+]|[0-9@$!|+][^\W\d_]|([^\W\d_])\1\1")
 LONGER = re.compile(r"(.)\1{3,}", re.S)
 
 
@@ -139,23 +141,32 @@ class CharacterModel:
             self.memo[a + b + c] = found
         return found
 
-    def _step(self, states: dict, char: str, size: int) -> dict:
+    def _ways(self, char: str, size: int) -> list[tuple[float, str]]:
+        """(cost, letters) of every reading of a run of one character; none for a character without readings."""
+        ways = [(UNREAD, "")] if char in LEET else []
+        for x in LEET.get(char) or (char if char.isalpha() else ""):
+            base = 0.0 if x == char else SUBSTITUTE
+            ways += [(base + (COLLAPSE if size > k else 0.0), x * k) for k in sorted({1, min(size, 2)})]
+        return ways or [(0.0, "")]
+
+    def _along(self, last: str, text: str) -> tuple[float, str]:
+        """Log probability of letters behind a state, and the state after them."""
+        total = 0.0
+        for x in text:
+            total += self.score(last[0], last[1], x)
+            last = last[1] + x
+        return total, last
+
+    def _moved(self, states: dict, ways: list) -> dict:
         """States (the last two letters) after a run; a path is (last piece, the path before it), so a step costs the same however long the word."""
         new: dict[str, tuple[float, tuple | None]] = {}
-        letters = LEET.get(char) or (char if char.isalpha() else "")
         for last, (cost, path) in states.items():
-            ways = [(UNREAD, "")] if char in LEET else []
-            for x in letters:
-                base = 0.0 if x == char else SUBSTITUTE
-                ways += [(base + (COLLAPSE if size > k else 0.0), x * k) for k in {1, min(size, 2)}]
-            for extra, out in ways:
-                a, total = last, cost + extra
-                for x in out:
-                    total += self.score(a[0], a[1], x)
-                    a = a[1] + x
+            for extra, text in ways:
+                gain, a = self._along(last, text)
+                total = cost + extra + gain
                 if a not in new or total > new[a][0]:
-                    new[a] = (total, (out, path))
-        return new or states
+                    new[a] = (total, (text, path))
+        return new
 
     def _end(self, states: dict) -> tuple[float, tuple | None]:
         return max(((v[0] + self.score(k[0], k[1], "^"), v[1]) for k, v in states.items()), key=lambda x: x[0])
@@ -164,36 +175,68 @@ class CharacterModel:
         """The best restored word of a span, by Viterbi over its lattice."""
         states = {"^^": (0.0, None)}
         for m in re.finditer(r"(.)\1*", span, re.S):
-            states = self._step(states, m[0][0], len(m[0]))
+            states = self._moved(states, self._ways(m[0][0], len(m[0])))
         return _path_text(self._end(states)[1])
 
     def decode_spaced(self, span: str) -> list[str]:
         """Restored words of a spaced span (one space at each separator): all of it as one word, and each word of
-        up to WORD letters between two separators whose best path through the lattice loses at most SLACK."""
+        two letters or more between two separators whose best path through the lattice loses at most SLACK.
+
+        One pass from either end gives the best path through each state; a word only grows over states with a
+        path good enough, so the work follows the paths that are kept and not the length of words.
+        """
         parts = span.split(" ")
         n = len(parts)
         out = [self.decode("\n".join(parts))]
         if not any(c.isalpha() for c in span):
             return out
-        cost: list[list[tuple[float, tuple | None]]] = []
-        for i in range(n):
-            states, row = {"^^": (0.0, None)}, []
-            for x in parts[i : i + WORD]:
-                states = self._step(states, x[0], len(x))
-                row.append(self._end(states))
-            if parts[i] in SINGLES:
-                row[0] = (max(row[0][0], ALONE), row[0][1])
-            cost.append(row)
-        before, after = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        steps = [self._ways(x[0], len(x)) for x in parts]
+        single = [ALONE if x in SINGLES else -math.inf for x in parts]
+        start = "^^"
+        # ahead[i]: the best cost of words that end before letter i; reached[i]: the best cost of each state behind letter i
+        ahead, reached = [0.0], []
         for i in range(n):
-            for k, (c, _) in enumerate(cost[i]):
-                before[i + k + 1] = max(before[i + k + 1], before[i] + c)
+            states = dict(reached[-1]) if i else {}
+            states[start] = max(states.get(start, -math.inf), ahead[i])
+            reached.append(self._reach(states, steps[i]))
+            end = max(c + self.score(a[0], a[1], "^") for a, c in reached[i].items())
+            ahead.append(max(end, ahead[i] + single[i]))
+        # behind[i]: the best cost from a word's start at letter i to the end; left[i]: that from each state behind letter i
+        behind, left = [-math.inf] * n + [0.0], [{} for _ in range(n)]
         for i in reversed(range(n)):
-            after[i] = max(c + after[i + k + 1] for k, (c, _) in enumerate(cost[i]))
+            left[i] = {a: max(self.score(a[0], a[1], "^") + behind[i + 1], self._onward(a, steps[i + 1], left[i + 1]) if i + 1 < n else -math.inf) for a in reached[i]}
+            behind[i] = max(self._onward(start, steps[i], left[i]), single[i] + behind[i + 1])
+        least = ahead[n] - SLACK
         for i in range(n):
-            out += [_path_text(path) for k, (c, path) in enumerate(cost[i]) if k and before[i] + c + after[i + k + 1] >= before[n] - SLACK]
+            if ahead[i] + behind[i] < least:
+                continue
+            states = {start: (ahead[i], None)}
+            for j in range(i, n):
+                states = {a: v for a, v in self._moved(states, steps[j]).items() if v[0] + left[j][a] >= least - 1e-9}
+                if not states:
+                    break
+                cost, path = self._end(states)
+                if j > i and cost + behind[j + 1] >= least:
+                    out.append(_path_text(path))
         return out
 
+    def _reach(self, states: dict[str, float], ways: list) -> dict[str, float]:
+        """The best cost of each state after a run."""
+        new: dict[str, float] = {}
+        for last, cost in states.items():
+            for extra, text in ways:
+                gain, a = self._along(last, text)
+                if (total := cost + extra + gain) > new.get(a, -math.inf):
+                    new[a] = total
+        return new
+
+    def _onward(self, last: str, ways: list, left: dict[str, float]) -> float:
+        """The best cost from a state over a run to the end."""
+        best = -math.inf
+        for extra, text in ways:
+            gain, a = self._along(last, text)
+            best = max(best, extra + gain + left.get(a, -math.inf))
+        return best
 
 def _path_text(path: tuple | None) -> str:
     out = []
@@ -213,16 +256,19 @@ def _spaced_texts(data: np.ndarray, offsets: np.ndarray, mark: np.ndarray, gap:
     if len(at) < 5:
         return np.zeros(0, np.int64)
     m, g = mark[at] & ~gap[at], gap[at]
-    # m, g, m, g, m of one text; the letters of a longer word at either end are left to the pattern
-    found = m[:-4] & g[1:-3] & m[2:-2] & g[3:-1] & m[4:] & (doc[:-4] == doc[4:])
+    # m, g, m, g, m of one text, and no ASCII letter or digit before the first or behind the last
+    open_, other = ~ALNUM[data[at]], doc[1:] != doc[:-1]
+    # of signs in a row, the one nearest to the gap may be the first or last
+    opens, ends = np.concatenate(([True], open_[:-1] | other)) | open_, np.concatenate((open_[1:] | other, [True])) | open_
+    found = m[:-4] & g[1:-3] & m[2:-2] & g[3:-1] & m[4:] & (doc[:-4] == doc[4:]) & opens[:-4] & ends[4:]
     return doc[:-4][found]
 
 
-def suspect_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts with a span worth decoding: a sign beside a letter on either side, a letter three times, or letters spaced out."""
+def suspect_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a span worth decoding: those with a sign beside a letter on either side or a letter three times, and those with letters spaced out."""
     n = len(data)
     if n < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     letter, sign = LETTERS[data], SIGNS[data]
     hits = [np.flatnonzero(letter[:-1] & sign[1:]), np.flatnonzero(sign[:-1] & letter[1:])]
     if n >= 3:
@@ -233,27 +279,30 @@ def suspect_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             first = first[first + j + size < n]
             first = first[data[first + j] == data[first + j + size]]
         hits.append(first)
-    docs = [np.searchsorted(offsets, np.concatenate(hits), side="right") - 1]
-    mark, gap = LETTERS[data] | SIGNS[data], GAPS[data]
-    docs.append(_spaced_texts(data, offsets, mark, gap))
-    wide = np.flatnonzero(WIDE_GAPS[data])
-    if len(wide):
-        docs.append(_spaced_texts(data, offsets, mark, gap | WIDE_GAPS[data]))
-    return np.unique(np.concatenate(docs))
+    marked = np.unique(np.searchsorted(offsets, np.concatenate(hits), side="right") - 1)
+    mark, gap = letter | sign, GAPS[data]
+    spaced = [_spaced_texts(data, offsets, mark, gap)]
+    if WIDE_GAPS[data].any():
+        spaced.append(_spaced_texts(data, offsets, mark, gap | WIDE_GAPS[data]))
+    return marked, np.unique(np.concatenate(spaced))
 
 
-def restored(text: str, decode, decode_spaced) -> list[str]:
+def restored(text: str, decode, decode_spaced, marked: bool = True, spaced: bool = True) -> list[str]:
     """Restored words of a lower-case text's suspect spans."""
-    text = LONGER.sub(r"\1\1\1", text)
-    out = [w for m in SPACED.finditer(text) for w in decode_spaced(GAP.sub(" ", m[0]))]
-    for m in RUN.finditer(text):
-        s = m[0]
-        if (not s.isalpha() and any(c.isalpha() for c in s) and any(c in LEET for c in s)) or TRIPLE.search(s):
-            out.append(decode(s))
-            if (core := s.rstrip("!|+$@")) != s and (not core.isalpha() or TRIPLE.search(core)):
-                out.append(decode(core))
-            elif core != s:
-                out.append(core)
+    out = []
+    if spaced:
+        out = [w for m in SPACED.finditer(text) for w in decode_spaced(GAP.sub(" ", LONGER.sub(r"\1\1\1", m[0])))]
+    at = 0
+    while marked and (m := MARK.search(text, at)):
+        begin = m.start()
+        while begin > at and RUN.match(text[begin - 1]):
+            begin -= 1
+        run = RUN.match(text, begin)
+        at = run.end()
+        s = LONGER.sub(r"\1\1\1", run[0])
+        out.append(decode(s))
+        if (core := s.rstrip("!|+$@")) != s:
+            out.append(decode(core) if MARK.search(core) else core)
     return out
 
 
@@ -277,7 +326,7 @@ def _packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _remembered(decode):
     """Restored words of short spans are kept."""
-    short = functools.lru_cache(100_000)(decode)
+    short = functools.lru_cache(HELD_SPANS)(decode)
     return lambda span: short(span) if len(span) <= 64 else decode(span)
 
 
@@ -316,7 +365,7 @@ class ToxicityModel:
         by_term = np.argsort(term, kind="stable")
         first, last = np.searchsorted(term[by_term], np.arange(len(names))), np.searchsorted(term[by_term], np.arange(len(names)), side="right")
         live, chosen = usable.copy(), []
-        for _ in range(TERMS):
+        while True:
             gain = np.where(live, np.bincount(term, need[doc] > 0, len(names)) - 3.0 * wrong, -1)
             best = int(gain.argmax())
             if gain[best] < LEAST:
@@ -343,9 +392,10 @@ class ToxicityModel:
         data = C.lower_ascii(data)
         raw = data.tobytes()
         hits = [self._hits(data, offsets)]
-        of = suspect_texts(data, offsets)
+        marked, spaced = (set(x.tolist()) for x in suspect_texts(data, offsets))
+        of = np.array(sorted(marked | spaced), np.int64)
         if len(of):
-            words = ["\n".join(restored(raw[offsets[i] : offsets[i + 1]].decode().lower(), self.decode, self.decode_spaced)) for i in of]
+            words = ["\n".join(restored(raw[offsets[i] : offsets[i + 1]].decode().lower(), self.decode, self.decode_spaced, i in marked, i in spaced)) for i in of.tolist()]
             k, d = self._hits(*_packed(words))
             hits.append((k, of[d]))
         k, d = (np.concatenate(x) for x in zip(*hits, strict=True))
@@ -367,20 +417,21 @@ class ToxicityModel:
         self._remember()
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, rows: int = TRAIN_ROWS, size: int = TRAIN_CHARS) -> ToxicityModel | None:
     """A model from labelled rows outside the held-out fold; none without such rows."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     docs = docs.select("doc_id", "text")
-    usable = F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held) & (F.octet_length("text") <= size)
+    usable = F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held)
     chosen = C.bounded_sample(docs, usable, rows, 7, marks)
     # one text a doc_id, however often it is repeated
-    got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min(C.stretch("text", "doc_id", size)).alias("text")).collect()
     got.sort(key=lambda r: (r.h, r.doc_id))
     return ToxicityModel([r.text for r in got], [r.toxic for r in got], CharacterModel(*corpus_trigrams(docs))) if got else None
 
 
 def scan(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """Columns c0.. of ``docs``, then x0 the score.  Null and empty texts get the score of a text without terms."""
+    """Columns c0.. of ``docs``, then x0 the score.  Null and empty texts get the score of a text without terms;
+    without labelled rows every score is 0.  Very long texts are scored whole; other columns stay, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -395,7 +446,10 @@ def scan(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None, limit: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted of every row; repeated rows get equal scores, an empty table none."""
+    """doc_id, held_out, score (0 to 1), predicted of every row; repeated rows get equal scores, an empty table none.
+
+    A null doc_id keeps its row and counts as an empty one for its fold; see ``scan`` for texts.
+    """
     model = model or train(docs, labels)
     docs = docs.select("doc_id", "text")
     found = scan(docs, model)
@@ -403,6 +457,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score is under ``limit``."""
+    """The rows of ``docs`` whose score is under ``limit``, with all columns; repeated rows stay or go together,
+    null and empty texts stay, without labelled rows all do; an empty table stays empty."""
     found = scan(docs, train(docs, labels))
     return C.pick(found.where(f"x0 < {limit}"), docs, docs.columns)

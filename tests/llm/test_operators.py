@@ -333,9 +333,9 @@ def test_toxicity_suspects_hold_all_restored(toxic_model):
     rnd = random.Random(8)
     texts = ["".join(rnd.choice("aab01$+!é漢 \n-\u2013_\u00b7") for _ in range(rnd.randrange(14))) for _ in range(4000)]
     data, offsets = toxicity._packed(texts)
-    found = set(toxicity.suspect_texts(data, offsets).tolist())
-    some = {i for i, t in enumerate(texts) if toxicity.restored(t, str, lambda x: [x])}
-    assert some and some <= found
+    for k, found in enumerate(toxicity.suspect_texts(data, offsets)):
+        some = {i for i, t in enumerate(texts) if toxicity.restored(t, str, lambda x: [x], k == 0, k == 1)}
+        assert some and some <= set(found.tolist())
     bad = ["idio+", "you idio+ ", "$cum", "loser|"]
     assert toxic_scores(toxic_model, bad) == [True] * 4 and toxic_scores(toxic_model, ["great!", "5+"]) == [False] * 2
 
