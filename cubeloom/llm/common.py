@@ -92,7 +92,7 @@ def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa
         at = to
 
 
-def append_columns(docs: DataFrame, make: Callable[[], Callable], fields: str, column: str = "text") -> DataFrame:
+def append_columns(docs: DataFrame, make: Callable[[], Callable], fields: str | list[str], column: str = "text") -> DataFrame:
     """``docs`` with computed columns behind its own, without a shuffle.
 
     ``make()`` runs once a task and returns a function of (batch slice, bytes,
@@ -102,7 +102,7 @@ def append_columns(docs: DataFrame, make: Callable[[], Callable], fields: str, c
     """
     staged = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{docs.columns.index(column)}"
-    kinds = [f.strip() for f in fields.split(",")]
+    kinds = [f.strip() for f in (fields.split(",") if isinstance(fields, str) else fields)]
     schema = T.StructType([*staged.schema.fields, *T.StructType.fromDDL(", ".join(f"x{i} {k}" for i, k in enumerate(kinds))).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

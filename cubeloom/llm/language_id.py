@@ -6,13 +6,18 @@ forward-backward gives each word's posterior, so a text that switches language
 is counted word by word.  A document's language is the label with the largest
 posterior mass.
 
-The model is fitted on the driver on at most TRAIN_ROWS labelled documents of at
-most TRAIN_BYTES each (the bound of the sample, 12 MB); prediction reads every
-text whole.
+The model is fitted on the driver on at most TRAIN_ROWS labelled documents, of a
+longer text on one stretch of TRAIN_CHARS characters at a place its doc_id picks.
+Beside them stand spliced texts, stretches of two languages in turn, so that the
+transitions see words change their language.  Prediction reads every text whole,
+and a sentence is one chain however long it is.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +25,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TRAIN_ROWS, TRAIN_BYTES = 1_500, 8_000
-#: Buckets of hashed features; sequences are cut after CHAIN words, where no sentence ends before.
-BUCKETS, CHAIN = 1 << 15, 64
+TRAIN_ROWS, TRAIN_CHARS = 1_500, 8_000
+#: Buckets of hashed features, and words in one matrix of chains (or one chain).
+BUCKETS, MATRIX = 1 << 15, 1 << 17
+#: Spliced texts for each labelled one, and words of a stretch.
+SPLICED, STRETCH = 0.3, (2, 10)
 AFFIXES = (1, 2, 3, 4)
 LETTERS = C.byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 STOPS = C.byte_table(lambda b: b in b".!?\n")
@@ -46,22 +53,23 @@ class Words:
         with np.errstate(over="ignore"):
             gram = (d[:-2] * np.uint32(0x9E3779B1) + d[1:-1] * np.uint32(0x85EBCA77) + d[2:] * np.uint32(0xC2B2AE3D)) if len(d) > 2 else np.zeros(0, np.uint32)
             self.grams = ((gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.int64) & (BUCKETS - 1)
+        self.end = ends
         self.gram_from, self.gram_to = starts, np.maximum(ends - 2, starts)
         stop = np.concatenate(([0], np.cumsum(STOPS[data])))
         first = np.ones(self.n, bool)
         if self.n:
             first[1:] = (self.doc[1:] != self.doc[:-1]) | (stop[starts[1:]] > stop[ends[:-1]])
-        begin = np.flatnonzero(first)
-        place = np.arange(self.n) - np.repeat(begin, np.diff(np.append(begin, self.n)))
-        self.begin = np.flatnonzero(place % CHAIN == 0)
+        self.begin = np.flatnonzero(first)
         self.length = np.diff(np.append(self.begin, self.n))
 
     def chains(self):
-        """(word index, mask) matrices of sequences of similar length."""
-        for low, high in ((0, 4), (4, 8), (8, 16), (16, 32), (32, CHAIN)):
+        """(word index, mask) matrices of sentences of similar length."""
+        low, high = 0, 4
+        while low < self.length.max(initial=0):
             of = np.flatnonzero((self.length > low) & (self.length <= high))
-            for at in range(0, len(of), 20_000):
-                part = of[at : at + 20_000]
+            low, high, rows = high, 2 * high, max(1, MATRIX // high)
+            for at in range(0, len(of), rows):
+                part = of[at : at + rows]
                 steps = np.arange(self.length[part].max())
                 mask = steps < self.length[part][:, None]
                 yield np.where(mask, self.begin[part][:, None] + steps, 0), mask
@@ -119,16 +127,21 @@ class ChainField:
         return out
 
     def fit(self, texts: list[str], langs: list[str], rounds: int = 4, rate: float = 0.25, seed: int = 0) -> ChainField:
-        """Stochastic gradient of the conditional likelihood (AdaGrad); every word has its document's label."""
+        """Stochastic gradient of the conditional likelihood (AdaGrad); every word has its document's label, in spliced texts its stretch's."""
         at = {k: i for i, k in enumerate(self.labels)}
         n = len(self.labels)
-        order = np.random.default_rng(seed).permutation(len(texts))
+        rnd = np.random.default_rng(seed)
+        order = rnd.permutation(len(texts))
         batches = []
         for part in np.array_split(order, max(1, len(order) // 50)):
-            raw = [texts[i].encode() for i in part]
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-            words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-            batches.append((words, np.array([at[langs[i]] for i in part])[words.doc] if words.n else np.zeros(0, np.int64)))
+            held = [[(texts[i].encode(), at[langs[i]])] for i in part]
+            held += [p for p in (spliced(rnd, texts, langs, at) for _ in range(int(SPLICED * len(part)) if n > 1 else 0)) if p]
+            pieces = [p for x in held for p in x]
+            size = np.array([len(r) for r, _ in pieces])
+            starts = np.cumsum(size) - size
+            ends = np.cumsum([sum(len(r) for r, _ in x) for x in held])
+            words = Words(np.frombuffer(b"".join(r for r, _ in pieces), np.uint8), np.concatenate(([0], ends)).astype(np.int64))
+            batches.append((words, np.array([k for _, k in pieces])[np.searchsorted(starts, words.gram_from, side="right") - 1] if words.n else np.zeros(0, np.int64)))
         seen = [np.full_like(x, 1e-2) for x in (self.w, self.g, self.trans, self.start)]
         for _ in range(rounds):
             for words, gold in batches:
@@ -154,13 +167,27 @@ class ChainField:
         return self
 
 
-def train(docs: DataFrame, fold: int = 4, held: int = 2, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ChainField | None:
+def spliced(rnd: np.random.Generator, texts: list[str], langs: list[str], at: dict[str, int]) -> list[tuple[bytes, int]]:
+    """One sentence of stretches of two labelled texts in turn, as (bytes, label) pieces; none if the two share a label or are short."""
+    two = rnd.integers(0, len(texts), 2)
+    words = [re.split(r"[\s.!?]+", texts[i]) for i in two]
+    if langs[two[0]] == langs[two[1]] or min(map(len, words)) < 4 * STRETCH[1]:
+        return []
+    out = []
+    for k in range(4):
+        n = int(rnd.integers(STRETCH[0], STRETCH[1] + 1))
+        a = int(rnd.integers(0, len(words[k % 2]) - n))
+        out.append(((" ".join(words[k % 2][a : a + n]) + " ").encode(), at[langs[two[k % 2]]]))
+    return out
+
+
+def train(docs: DataFrame, fold: int = 4, held: int = 2, rows: int = TRAIN_ROWS, size: int = TRAIN_CHARS) -> ChainField | None:
     """A field from text and non-null lang of documents outside the held-out fold; none without such rows."""
     docs = docs.select("doc_id", "text", "lang")
-    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held) & (F.octet_length("text") <= size)
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held)
     chosen = C.bounded_sample(docs, usable, rows, 6)
     # one text a doc_id, however often it is repeated
-    got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).select("h", "doc_id", "d.*").collect()
+    got = docs.where(usable).join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id").agg(F.min(F.struct(C.stretch("text", "doc_id", size).alias("text"), "lang")).alias("d")).select("h", "doc_id", "d.*").collect()
     got.sort(key=lambda r: (r.h, r.doc_id))
     return ChainField(sorted({r.lang for r in got})).fit([r.text for r in got], [r.lang for r in got]) if got else None
 
@@ -169,7 +196,9 @@ def scan(docs: DataFrame, model: ChainField | None) -> DataFrame:
     """Columns c0.. of ``docs``, then x0 language and x1 its share of the posterior mass (0 to 1).
 
     ``und`` with score 0 if a text is null, empty or without a letter, or if
-    nothing was learned.  Other columns are never read.
+    nothing was learned.  Very long texts are read whole, repeated rows get equal
+    results, an empty table gives none; other columns are never read and stay,
+    whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -198,14 +227,51 @@ def scan(docs: DataFrame, model: ChainField | None) -> DataFrame:
 
 
 def language_id(docs: DataFrame, model: ChainField | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; repeated rows get equal predictions, an empty table none."""
+    """doc_id, held_out, lang_pred, score of every row; a null doc_id counts as an empty one for its fold; see ``scan`` for texts."""
     model = model or train(docs)
     docs = docs.select("doc_id", "text")
     found = scan(docs, model)
     return C.pick(found, docs, ["doc_id"], held_out=C.crc_mod("c0", 4) == 2, lang_pred="x0", score="x1")
 
 
-def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a language; ``und`` and texts where no label has ``least`` of the mass go."""
-    found = scan(docs, train(docs))
+def language_spans(docs: DataFrame, model: ChainField | None = None) -> DataFrame:
+    """doc_id and spans of every row: (start, end, lang) in UTF-8 bytes of runs of words with one most likely language.
+
+    Texts without a word, or null, have no spans, as has every text if nothing was learned.
+    """
+    model = model or train(docs)
+    docs = docs.select("doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        field = shared.value
+
+        def step(part, data, offsets):
+            n = len(offsets) - 1
+            spans: list[list[dict]] = [[] for _ in range(n)]
+            words = Words(data, offsets)
+            if field is not None and words.n:
+                best = field.marginals(words).argmax(axis=1)
+                new = np.concatenate(([True], (best[1:] != best[:-1]) | (words.doc[1:] != words.doc[:-1])))
+                first = np.flatnonzero(new)
+                for a, b in itertools.pairwise([*first.tolist(), words.n]):
+                    d = int(words.doc[a])
+                    spans[d].append({"start": int(words.gram_from[a] - offsets[d]), "end": int(words.end[b - 1] - offsets[d]), "lang": field.labels[best[a]]})
+            return [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))]
+
+        return step
+
+    return C.pick(C.append_columns(docs, make, ["array<struct<start:long,end:long,lang:string>>"]), docs, ["doc_id"], spans="x0")
+
+
+def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` with a language, with all columns; ``und`` goes, and so do texts where no label has ``least`` of the mass.
+
+    Without any labelled text nothing can be told, and every row stays.
+    Repeated rows stay or go together; an empty table stays empty.
+    """
+    model = train(docs)
+    if model is None:
+        return docs
+    found = scan(docs, model)
     return C.pick(found.where(f"x0 <> 'und' and x1 >= {least}"), docs, docs.columns)
