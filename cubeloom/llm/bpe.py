@@ -1,18 +1,25 @@
 """BPE encoding and decoding with tree concatenation of long texts.
 
-Short texts go to the tokenizer whole.  A long text is first cut where its
-pre-tokenizer always cuts, so the parts encode alone as they do together.  A
-part that stays long is one unsplit piece: its halves are encoded apart (down
-to LEAF_CHARS), and around each join a window of the nearest tokens is encoded
-again, wider each time, until it starts with the left side's token and ends
-with the right side's.  Every pair of neighbours in the result then also stands
-side by side in some correct encoding, which for byte-pair merges makes the
-whole sequence the tokenizer's own.
-
-Leaves, windows and short texts of a byte-level vocabulary whose ids follow its
+Texts of up to LEAF_CHARS characters are leaves: they go to the tokenizer whole.
+A longer text is cut into leaves wherever their size falls, words and runs
+included; leaves are encoded apart (in THREADS threads), and neighbours are then
+joined pair by pair up a tree.  Around a join the nearest pieces of the
+pre-tokenizer are split and encoded again, in a window that grows until both
+sides agree: on the left it begins where a piece starts for sure, on the right a
+piece starts where one of the right side's does.  Pieces depend only on the
+place they start and on what follows, at most AHEAD characters past their end,
+so beyond these places the sides' own ids hold.
+
+A piece longer than a leaf that lies over a join was encoded in two parts; they
+are joined inside the piece, where a window of the nearest ids grows until it
+starts with the left side's id and ends with the right side's.  Every pair of
+neighbours in the result then also stands side by side in some correct encoding,
+which for byte-pair merges makes the whole sequence the tokenizer's own.
+
+The argument holds for byte-level pre-tokenizers; any other vocabulary encodes
+texts whole.  Leaves and windows of a byte-level vocabulary whose ids follow its
 merges are encoded from ranks, which gives the library's ids at about a quarter
-of its time; ``ranked`` tells when that holds, and any other vocabulary keeps
-the library.
+of its time; ``ranked`` tells when that holds, and any other keeps the library.
 """
 
 from __future__ import annotations
@@ -22,19 +29,22 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common as C
 
-#: Texts up to this many characters are encoded whole.
-WHOLE_CHARS = 32_768
-#: Leaves of the tree over an unsplit piece.
-LEAF_CHARS = 2_048
+#: Characters of a leaf; longer texts go through the tree.
+LEAF_CHARS = 4_096
 #: A space between two ASCII letters: the pre-tokenizer starts a piece there, whatever stands around.
 SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Threads that encode the leaves of one text.
+THREADS = 2
+#: Characters past its end that may decide a piece: a contraction reads three from its start, any other piece one past its end.
+AHEAD = 3
 
 
 def default_vocabulary() -> str:
@@ -47,6 +57,12 @@ def default_vocabulary() -> str:
 BYTE_LEVEL_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def is_byte_level(spec: dict) -> bool:
+    """Whether a vocabulary splits texts as a byte-level pre-tokenizer does, with nothing before it."""
+    pre = spec["pre_tokenizer"] or {}
+    return not spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
 def _byte_of() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -62,11 +78,11 @@ def ranked(tok, special: dict[str, int]):
     are then always the two halves its merge names.
     """
     spec = json.loads(tok.to_str())
-    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    model = spec["model"]
     plain = {"unk_token": None, "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "fuse_unk": False}
     if model.get("type") != "BPE" or any((model.get(k) or default) != default for k, default in plain.items()):
         return None
-    if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+    if not is_byte_level(spec):
         return None
     if any(a[k] for a in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
         return None
@@ -85,19 +101,21 @@ def ranked(tok, special: dict[str, int]):
 
 
 class TreeBPE:
-    def __init__(self, path: str, whole: int = WHOLE_CHARS, leaf: int = LEAF_CHARS):
+    def __init__(self, path: str, leaf: int = LEAF_CHARS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.whole, self.leaf = whole, leaf
+        self.leaf = leaf
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         special = self.names = set(added)
+        self.tree = is_byte_level(json.loads(self.tok.to_str()))
         self.ranks = ranked(self.tok, added)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.digits = [str(i) for i in range(self.tok.get_vocab_size())]
+        self.sizes = np.array([len(self._token_bytes().get(i, b"")) for i in range(self.tok.get_vocab_size())])
 
     def _lib(self, texts: list[str]) -> list[list[int]]:
         """The tokenizer's ids of each text."""
@@ -143,58 +161,83 @@ class TreeBPE:
                     self.token_bytes[i] = bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode()
         return self.token_bytes
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """One piece of the pre-tokenizer, by the tree."""
-        if len(piece) <= self.leaf:
-            return self._lib([piece])[0]
-        leaves = self._lib([piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)])
-        while len(leaves) > 1:
-            leaves = [self._join(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-        return leaves[0]
-
-    def _segments(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(is one long piece, part): cuts after about ``whole`` characters at safe places."""
-        at = 0
-        while len(text) - at > self.whole:
-            m = SAFE.search(text, at + self.whole // 2, min(len(text), at + self.whole))
-            if not m:
+    def _pieces(self, text: str) -> np.ndarray:
+        """Starts of the pre-tokenizer's pieces of a text."""
+        return np.array([a for _, (a, _) in self.tok.pre_tokenizer.pre_tokenize_str(text)], np.int64)
+
+    def _tail(self, text: str, begin: int, end: int, size: int) -> int:
+        """The start of a piece about ``size`` characters before the end: a space between two letters starts one whatever stands around, as does the begin."""
+        while begin < end - size:
+            m = SAFE.search(text, end - size, end - AHEAD)
+            if m:
+                return m.start()
+            size *= 4
+        return begin
+
+    def _ids_of(self, ids: list[int], size: int, last: bool = False) -> int:
+        """How many ids at an end of a list make up so many bytes."""
+        part = self.sizes[ids[-size:] if last else ids[:size]] if size else np.zeros(0, np.int64)
+        return int(np.searchsorted(np.cumsum(part[::-1] if last else part), size)) + 1 if size else 0
+
+    def _joined(self, text: str, left: list[int], right: list[int], begin: int, middle: int, end: int) -> list[int]:
+        """The ids of text[begin:end] from those of its two parts."""
+        size = 64
+        while True:
+            a, b = self._tail(text, begin, middle, size), min(end, middle + size)
+            starts, own = self._pieces(text[a:b]) + a, self._pieces(text[middle:b]) + middle
+            same = np.intersect1d(starts, own)
+            same = same[(same >= middle) & ((same <= b - AHEAD) | (b == end))]
+            if len(same) or b == end:
+                stop = int(same[0]) if len(same) else end
                 break
-            yield False, text[at : m.start()]
-            at = m.start()
-        rest = text[at:]
-        if len(rest) <= self.whole:
-            yield False, rest
-            return
-        # no safe place ahead: ask the pre-tokenizer for the pieces
-        run = 0
-        last = 0
-        for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(rest):
-            if b - a > self.whole:
-                if last < a:
-                    yield False, rest[last:a]
-                yield True, rest[a:b]
-                last = run = b
-            elif b - last > self.whole // 2 and not rest[b - 1].isspace():
-                yield False, rest[last:b]
-                last = run = b
-        del run
-        if last < len(rest):
-            yield False, rest[last:]
+            size *= 4
+        bounds = [*starts[starts < stop].tolist(), stop]
+        keep = len(left) - self._ids_of(left, len(text[a:middle].encode()), True)
+        rest = self._ids_of(right, len(text[middle:stop].encode()))
+        out = left[:keep]
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        # a long piece over the join, of which each side has a part as its last or first piece
+        over = next(((x, y) for x, y in spans if y - x > self.leaf and x < middle < y), None)
+        if over and int(self._pieces(text[a:middle])[-1]) + a == over[0] and (int(own[1]) if len(own) > 1 else end) == over[1] and (b == end or over[1] < b):
+            x, y = over
+            head, tail = len(text[x:middle].encode()), len(text[middle:y].encode())
+            inside = self._join(left[len(left) - self._ids_of(left, head, True) :], right[: self._ids_of(right, tail)])
+            parts = self._lib([text[p:q] for p, q in spans if (p, q) != over])
+            parts.insert(spans.index(over), inside)
+        else:
+            parts = self._lib([text[p:q] for p, q in spans])
+        for p in parts:
+            out += p
+        return out + right[rest:]
+
+    def encode_long(self, text: str) -> list[int]:
+        """A text of any length without special tokens, by the tree."""
+        cuts = [*range(0, len(text), self.leaf), len(text)]
+        leaves = [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        with ThreadPoolExecutor(THREADS) as pool:
+            parts = pool.map(self._lib, [leaves[k::THREADS] for k in range(THREADS)])
+        ids: list = [None] * len(leaves)
+        for k, got in enumerate(parts):
+            ids[k::THREADS] = got
+        nodes = list(zip(cuts[:-1], cuts[1:], ids, strict=True))
+        while len(nodes) > 1:
+            pairs = [nodes[i : i + 2] for i in range(0, len(nodes), 2)]
+            nodes = [p[0] if len(p) == 1 else (p[0][0], p[1][1], self._joined(text, p[0][2], p[1][2], p[0][0], p[0][1], p[1][1])) for p in pairs]
+        return nodes[0][2]
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.whole:
+        if len(text) <= self.leaf or not self.tree:
             return self._lib([text])[0]
         out: list[int] = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 out.append(self.tok.token_to_id(part))
             elif part:
-                for long, segment in self._segments(part):
-                    out += self.encode_piece(segment) if long else self._lib([segment])[0]
+                out += self.encode_long(part) if len(part) > self.leaf else self._lib([part])[0]
         return out
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        short = [i for i, t in enumerate(texts) if len(t) <= self.whole]
+        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
         out: list = [None] * len(texts)
         for i, ids in zip(short, self._lib([texts[i] for i in short]), strict=True):
             out[i] = ids

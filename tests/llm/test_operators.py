@@ -192,13 +192,13 @@ def test_bpe(spark, docs, corpus):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(bpe.default_vocabulary())
-    tree = bpe.TreeBPE(bpe.default_vocabulary(), whole=64, leaf=16)
+    tree = bpe.TreeBPE(bpe.default_vocabulary(), leaf=16)
     rnd = random.Random(2)
     big = " ".join(t for _, t in corpus if t)
     cases = [big[a : a + rnd.randint(1, 700)] for a in (rnd.randrange(len(big)) for _ in range(100))]
     cases += [c.replace(" ", "") for c in cases] + ["".join(rnd.choice("ab \n\t'sé漢😀!1") for _ in range(400)) for _ in range(100)]
     cases += ["a" * 900, " " * 700, "\n" * 300 + "x", "😀" * 200, "漢字" * 300, "x<|endoftext|>" * 50, "<|endoftext|" * 40, "'s" * 200]
-    by_library = bpe.TreeBPE(bpe.default_vocabulary(), whole=64, leaf=16)
+    by_library = bpe.TreeBPE(bpe.default_vocabulary(), leaf=16)
     by_library.ranks = None
     for c in cases:
         assert tree.encode(c) == by_library.encode(c) == plain.encode(c, add_special_tokens=False).ids
