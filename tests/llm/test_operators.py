@@ -107,9 +107,32 @@ def test_sharding(docs, corpus):
         by[r.shard].append(r)
         where[texts[r.doc_id]].add(r.shard)
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    # copies stay together unless their group is cut for its share of all rows
+    limit = max(len(rows) / sharding.PARTS, 1)
+    assert all(len(s) == 1 for t, s in where.items() if collections.Counter(texts.values())[t] <= limit)
     assert sharding.pack_into_shards(docs.limit(0), 4).count() == 0
 
 
+def test_sharding_balances_bytes_tokens_and_rows(spark, monkeypatch):
+    """All three at once, with a hot group, on one level and on several; copies of a text share a shard."""
+    rnd = random.Random(12)
+    copies = [prose(rnd.randrange(1, 80), rnd) for _ in range(300)]
+    rows = [(i, "hot text" if i % 3 == 0 else rnd.choice(copies) if i % 5 == 0 else prose(rnd.choice([1, 2, 5, 20, 80]), rnd)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bins, most in ((sharding.DRIVER_BINS, 0.01), (150, 0.08)):
+        monkeypatch.setattr(sharding, "DRIVER_BINS", bins)
+        got = sharding.pack_into_shards(df, 8).collect()
+        load, where, slots = collections.defaultdict(lambda: np.zeros(3)), collections.defaultdict(set), collections.defaultdict(list)
+        for r in got:
+            load[r.shard] += (r["size"], r.tokens, 1)
+            where[rows[r.doc_id][1]].add(r.shard)
+            slots[r.shard].append(r.slot)
+        x = np.array(list(load.values()))
+        assert len(got) == 12_000 and len(x) == 8 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert ((x.max(axis=0) - x.min(axis=0)) / x.mean(axis=0) <= (0.001 if bins > 150 else most, most, most)).all()
+        assert all(len(where[t]) == 1 for t in copies if t in where) and len(where["hot text"]) == 8
+
+
 def test_sharding_balances_a_hot_group(spark):
     rows = [(i, "same text here" if i % 3 == 0 else prose(RND.randrange(1, 60))) for i in range(3000)]
     got = sharding.pack_into_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16).groupBy("shard").agg({"size": "sum"}).collect()
