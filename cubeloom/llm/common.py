@@ -208,6 +208,30 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
 # ------------------------------------------------------------- components
 
 
+#: Rows of a table up to which it is counted small enough to broadcast (some 24 bytes each).
+BROADCAST_ROWS = 1_000_000
+#: Rows that a key may have in one task of a join, and tasks that share a key with more.
+HOT_ROWS, SALTS = 200_000, 64
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, size: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table of ``size`` rows with one row a key, whatever share of the rows a key has.
+
+    A table counted small is broadcast, so rows are not dealt by key at all.
+    Else keys with more than HOT_ROWS rows (at most one for each HOT_ROWS rows,
+    found by a pre-aggregated count) get SALTS tasks: their rows are dealt among
+    them and their table row is repeated for each.
+    """
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > HOT_ROWS).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of an undirected graph: root is the smallest node reachable.
 
@@ -215,27 +239,32 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     neighbour (a pre-aggregated minimum, so a star with a hot centre stays
     cheap), follows pointers twice, and contracts the edges along them; edges
     shrink until none is left, and the rounds' pointers are then composed.
-    Tables are written to the shared folder between rounds; only an emptiness
-    test comes to the driver.  Null ends are ignored.
+    Joins on nodes are ``keyed_join``s, so a component that holds a large share
+    of all nodes takes no task of its own.  Tables are written to the shared
+    folder between rounds; only counts come to the driver.  Null ends are ignored.
     """
 
     def simple(df: DataFrame) -> DataFrame:
         return scratch.save(df.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
 
     left = simple(edges)
-    rounds: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, int]] = []
     while not rounds or left.limit(1).count():
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         first = scratch.save(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("to")))
+        n = first.count()
         again = first.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        point = scratch.save(first.join(again, "to").select("node", F.col("far").alias("root")))
-        rounds.append(point)
+        point = scratch.save(keyed_join(first, again, "to", n).select("node", F.col("far").alias("root")))
+        rounds.append((point, n))
         a = point.select(F.col("node").alias("src"), F.col("root").alias("s"))
         b = point.select(F.col("node").alias("dst"), F.col("root").alias("d"))
-        left = simple(left.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")))
-    out = rounds[0]
-    for later in rounds[1:]:
-        out = out.join(later.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+        half = keyed_join(left, a, "src", n)
+        half = half if n <= BROADCAST_ROWS else scratch.save(half)  # a salted join reads its rows twice
+        left = simple(keyed_join(half, b, "dst", n).select(F.col("s").alias("src"), F.col("d").alias("dst")))
+    out = rounds[0][0]
+    for later, n in rounds[1:]:
+        out = keyed_join(out, later.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", n, "left").select("node", F.coalesce("far", "root").alias("root"))
+        out = out if n <= BROADCAST_ROWS else scratch.save(out)
     return out
 
 

@@ -3,7 +3,7 @@
 Method.  A document's distinct shingles are hashed into groups, and the number
 of shingles in each group is a coordinate: the overlap of two sets is at most
 the sum of the coordinate minima.  ``CountVectorRTree`` indexes such points and
-skips every node whose upper corner cannot reach the wanted overlap; what is
+descends only into nodes whose upper corner can reach the wanted overlap; what is
 left is verified on the sets themselves.
 
 Distribution.  One R-tree over everything would not fit a task, so hashed groups
@@ -15,6 +15,8 @@ most s groups empty has a group with the same shingles, at least one, in both
 more than s empty groups, which are very rare, use those as cells too.
 
 1. Cells with two sets or more stay; cells with the same members count once.
+   Counts of BUCKETS buckets of cells tell which cells may be hot: any other has
+   few rows against an average task, and only those meet by a shuffle on the cell.
 2. Each cell's points go into an R-tree, and its members are joined where the
    bound lets them be linked.  Components of these joins are *blocks*.
 3. Each block's texts meet once, and an R-tree search with exact verification
@@ -45,14 +47,14 @@ BAND = 1.5
 #: Shingles of one chunk of a block: blocks are cut into up to CHUNKS chunks of at least the first
 #: figure, and into more only so that none holds more than the second on average.
 CHUNK_SHINGLES, MOST_SHINGLES, CHUNKS = 100_000, 2_000_000, 8
-#: Points of a cell that one chunk holds on average.
-CELL_POINTS = 20_000
-#: Rows of (cell, node) or (doc_id, block) up to which they are counted small enough to broadcast
-#: (24 bytes each); beyond, a shuffle join.
-BROADCAST_ROWS = 1_000_000
+#: Points of a cell that one chunk holds on average, and buckets in which rows of cells are counted.
+CELL_POINTS, BUCKETS = 20_000, 1 << 16
+#: Distinct sets that a task remembers so as to deal copies once.
+SEEN = 200_000
 #: Sets meet as 40 bits of their digest while blocks form; a chance meeting only adds a candidate.
 NODE = (1 << 40) - 1
-LEAF = 32
+#: Children of a node of the tree.
+FAN = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -139,17 +141,23 @@ def _linked(inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, num: in
     return den * inter >= num * (a + b - inter)
 
 
-def digest(shingles: np.ndarray) -> int | None:
-    """64 bits for a set; none for the empty one."""
+def digest(shingles: np.ndarray) -> bytes | None:
+    """128 bits for a set; none for the empty one."""
+    if not len(shingles):
+        return None
     with np.errstate(over="ignore"):
-        return int(C.mix(shingles).sum(dtype=C.U64).view(np.int64)) if len(shingles) else None
+        return np.array([C.mix(shingles).sum(dtype=C.U64), C.mix(shingles ^ C.U64(0xA0761D6478BD642F)).sum(dtype=C.U64)], ">u8").tobytes()
+
+
+def node_of(name: bytes) -> int:
+    return int.from_bytes(name[:8], "big") & NODE
 
 
 class CountVectorRTree:
-    """Points packed into leaves of LEAF by sorted order; each leaf keeps its upper corner.
+    """Points in sorted order, packed FAN to a node on every level up to the root; each node keeps its upper corner.
 
     A query of size n needs an overlap of num * (n + m) / (num + den) with a
-    point of size m.  A leaf is opened if the summed minima with its upper corner
+    point of size m.  A node is opened if the summed minima with its upper corner
     reach that for its smallest m, a point is a candidate if its own sum does.
     """
 
@@ -157,34 +165,36 @@ class CountVectorRTree:
         self.num, self.den = num, den
         keys = [points[:, g] for g in range(0, points.shape[1], max(1, points.shape[1] // 4))][:4]
         self.order = np.lexsort([*keys, sizes])
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.upper = np.maximum.reduceat(self.points, cuts, axis=0)
-        self.small, self.large = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
-        self.alive = np.ones(len(sizes), bool)
-        self.left = np.add.reduceat(self.alive.astype(np.int64), cuts)
+        #: Of each level, from the points up: upper corners, smallest and largest sizes, points not removed.
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order], np.ones(len(sizes), np.int64))]
+        while len(self.levels[-1][1]) > FAN:
+            upper, small, large, left = self.levels[-1]
+            cuts = np.arange(0, len(small), FAN)
+            self.levels.append((np.maximum.reduceat(upper, cuts, axis=0), np.minimum.reduceat(small, cuts), np.maximum.reduceat(large, cuts), np.add.reduceat(left, cuts)))
         self.place = np.empty(len(sizes), np.int64)
         self.place[self.order] = np.arange(len(sizes))
 
     def remove(self, ids: np.ndarray) -> None:
         at = self.place[ids]
-        at = at[self.alive[at]]
-        self.alive[at] = False
-        np.subtract.at(self.left, at // LEAF, 1)
+        at = at[self.levels[0][3][at] > 0]
+        for k, level in enumerate(self.levels):
+            np.subtract.at(level[3], at // FAN**k, 1)
 
     def query(self, point: np.ndarray, n: int) -> np.ndarray:
         """Ids of the points, not removed, whose bound reaches the similarity."""
         num, den = self.num, self.den
-        leaves = np.flatnonzero((self.left > 0) & (self.large * den >= n * num) & (self.small * num <= n * den))
-        if not len(leaves):
-            return leaves
-        bound = np.minimum(self.upper[leaves], point).sum(axis=1, dtype=np.int64)
-        leaves = leaves[bound * (num + den) >= num * (n + np.maximum(self.small[leaves], -(-n * num // den)))]
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.sizes)]
-        at = at[self.alive[at]]
-        bound = np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64)
-        return self.order[at[_linked(bound, n, self.sizes[at], num, den)]]
+        at = np.arange(len(self.levels[-1][1]))
+        for k in reversed(range(len(self.levels))):
+            upper, small, large, left = self.levels[k]
+            at = at[(left[at] > 0) & (large[at] * den >= n * num) & (small[at] * num <= n * den)]
+            if not len(at):
+                break
+            bound = np.minimum(upper[at], point).sum(axis=1, dtype=np.int64)
+            at = at[bound * (num + den) >= num * (n + np.maximum(small[at], -(-n * num // den)))]
+            if k:
+                at = (at[:, None] * FAN + np.arange(FAN)).ravel()
+                at = at[at < len(self.levels[k - 1][1])]
+        return self.order[at]
 
 
 def count_vector(shingles: np.ndarray, dims: int = 0) -> np.ndarray:
@@ -229,6 +239,41 @@ def bound_components(points: list[np.ndarray], sizes: np.ndarray, num: int, den:
     return root
 
 
+class Block:
+    """The sets of a block as numbers, and their tree."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.ends = np.cumsum(self.sizes)
+        self.points = folded([count_vector(s, DIMS) for s in sets])
+        self.tree = CountVectorRTree(self.points, self.sizes, num, den)
+        self.mark = np.zeros(len(names), np.uint8)
+
+    def found(self, q: int) -> np.ndarray:
+        """Sets, not removed, that are linked with set q."""
+        near = np.sort(self.tree.query(self.points[q], int(self.sizes[q])))
+        own = self.flat[self.ends[q] - self.sizes[q] : self.ends[q]]
+        self.mark[own] = 1
+        out = []
+        for at in range(0, len(near), 4096):
+            part = near[at : at + 4096]
+            size = self.sizes[part]
+            a, b = int(self.ends[part[0]] - size[0]), int(self.ends[part[-1]])
+            if b - a <= 2 * size.sum():  # nearly all sets of a stretch
+                every = np.arange(part[0], part[-1] + 1)
+                hits = np.add.reduceat(self.mark[self.flat[a:b]], (self.ends - self.sizes)[every] - a, dtype=np.int64)[part - part[0]]
+            else:
+                cuts = np.cumsum(size) - size
+                index = np.repeat(self.ends[part] - size - cuts, size) + np.arange(size.sum())
+                hits = np.add.reduceat(self.mark[self.flat[index]], cuts, dtype=np.int64)
+            out.append(part[_linked(hits, int(self.sizes[q]), size, self.num, self.den)])
+        self.mark[own] = 0
+        return np.concatenate(out) if out else near
+
+
 def components_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set the position of the first one reachable by links.
 
@@ -236,38 +281,54 @@ def components_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     large group of near copies costs one search for each member over what is
     still unreached, and never its pairs.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
     root = np.full(len(sets), -1, np.int64)
     if not len(sets):
         return root
-    points = folded([count_vector(s, DIMS) for s in sets])
-    tree = CountVectorRTree(points, sizes, num, den)
+    block = Block(sets, num, den)
     for first in range(len(sets)):
         if root[first] >= 0:
             continue
         root[first] = first
-        tree.remove(np.array([first]))
+        block.tree.remove(np.array([first]))
         queue = [first]
         while queue:
-            q = queue.pop()
-            found = tree.query(points[q], int(sizes[q]))
-            for at in range(0, len(found), 2048):
-                part = found[at : at + 2048]
-                joined = np.concatenate([sets[i] for i in part])
-                pos = np.minimum(np.searchsorted(sets[q], joined), len(sets[q]) - 1)
-                hits = np.add.reduceat((sets[q][pos] == joined).astype(np.int64), np.cumsum(np.concatenate(([0], sizes[part][:-1]))))
-                got = part[_linked(hits, int(sizes[q]), sizes[part], num, den)]
-                root[got] = first
-                tree.remove(got)
-                queue.extend(got.tolist())
+            got = block.found(queue.pop())
+            root[got] = first
+            block.tree.remove(got)
+            queue.extend(got.tolist())
     return root
 
 
+def links_within(sets: list[np.ndarray], copies: np.ndarray, chunk: np.ndarray, counted: set[int], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """``components_within``, and for each set its links with documents of other sets.
+
+    Pairs inside a chunk count only for the chunks in ``counted``, as they also meet in other tasks.
+    """
+    root, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    if not len(sets):
+        return root, links
+    block = Block(sets, num, den)
+    inside = np.isin(chunk, list(counted))
+    for q in range(len(sets)):
+        block.tree.remove(np.array([q]))
+        got = block.found(q)
+        if not len(got):
+            continue
+        met = np.unique(root[got])
+        if len(met) > 1 or met[0] != root[q]:
+            first = min(int(met[0]), int(root[q]))
+            root[np.isin(root, met) | (root == root[q])] = first
+        new = got[(chunk[got] != chunk[q]) | inside[q]]
+        links[q] += copies[new].sum()
+        links[new] += copies[q]
+    return root, links
+
+
 def _dealt(rows: DataFrame, key: str, member: str, chunks: Column, total: int) -> DataFrame:
     """Rows with the task key (k0, k1, k2): groups of one chunk share hashed tasks of
     some thousand rows; others send each row to every pair of chunks with its own."""
     bins = F.lit(max(1, -(-total // 4096)))
-    rows = rows.withColumn("_c", F.greatest(chunks.cast("long"), F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_c")))
+    rows = rows.withColumn("_c", F.greatest(chunks.cast("long"), F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_c"))).withColumn("own", F.col("_own"))
     rows = rows.withColumn("_o", F.explode(F.expr("sequence(0L, _c - 1)"))).where("_c = 1 or _o <> _own")
     one = F.col("_c") == 1
     return rows.select(
@@ -293,16 +354,45 @@ def _join_points(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return out[out["src"] != out["dst"]].drop_duplicates()
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def _shared_cells(rows: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(k, node, m): members of each cell with m > 1 of them; cells with the same members have one k."""
+    # rows of each bucket of cells: a bucket not far over the average has no hot cell
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(BUCKETS)).cast("int")
+    counts = scratch.save(rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    hot = [r.bucket for r in counts.where(F.col("n") > 2 * mean + CELL_POINTS).select("bucket").collect()]  # at most BUCKETS / 2
+    name = lambda total, m, least: F.xxhash64(total, m, least).alias("k")
+    few = rows if not hot else rows.where(~bucket.isin(hot))
+    # one shuffle by cell serves the distinct, the counts and the digest of the members
+    few = few.repartition("cell").dropDuplicates(["cell", "node"])
+    each = Window.partitionBy("cell")
+    met = few.withColumns({"m": F.count("*").over(each), "total": F.bit_xor(F.xxhash64("node")).over(each), "least": F.min("node").over(each)}).where("m > 1")
+    met = met.select(name("total", "m", "least"), "node", "m").distinct()
+    if hot:
+        # rows of a hot cell are dealt by cell and node, and only its sums by the cell
+        many = scratch.save(rows.where(bucket.isin(hot)).distinct())
+        sums = many.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("total"), F.min("node").alias("least")).where("m > 1")
+        sums = scratch.save(sums.select("cell", "m", name("total", "m", "least")).groupBy("k").agg(F.min("cell").alias("cell"), F.first("m").alias("m")))
+        met = met.unionByName(C.keyed_join(many, sums, "cell", sums.count()).select("k", "node", "m"))
+    return scratch.save(met)
+
+
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, count_links: bool = True) -> DataFrame:
     """Classes of documents linked by shingle similarity >= num / den.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and
-    set_id for every row of ``docs``.  Texts are lower-cased (A-Z) and split at
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable), set_id
+    and, unless ``count_links`` is off, n_links (documents linked with it, copies
+    included) for every row of ``docs``.  Texts are lower-cased (A-Z) and split at
     white space; with fewer than ``words`` words the whole sequence is the one
     shingle.  Null, empty and blank texts have no shingles and are linked with
-    nothing.  Repeated rows are equal sets and so linked; extra columns are
-    ignored; an empty table gives an empty result; a null doc_id keeps its row
-    and gets the component of its text.  Equal sets are recognised by a 64-bit digest.
+    nothing.  Repeated rows are equal sets and so linked; a doc_id may have
+    several texts; a very long text is one set; extra columns are ignored; an
+    empty table gives an empty result; a null doc_id keeps its row and gets the
+    component of its text, which is null if no row in it has a doc_id.  Equal
+    sets are recognised by a 128-bit digest.
+
+    Counting looks at every pair of distinct sets in a block that the tree lets
+    through; without it a set that was reached is not looked at again.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
@@ -314,66 +404,100 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
             for part, data, offsets in C.text_steps(batch):
                 sets = list(shingle_sets(data, offsets, words))
                 points = [count_vector(s).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "sid", "point"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "sid", "point"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # sets of this task: copies are dealt once
+        seen: set[bytes] = set()
         for batch in batches:
             for _, data, offsets in C.text_steps(batch):
-                sets = []
+                sets, names = [], []
                 for s in shingle_sets(data, offsets, words):
                     if len(s) and (d := digest(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(d)
                         sets.append(s)
+                        names.append(node_of(d))
                 cells = [cells_of(s, num, den) for s in sets]
-                node = np.repeat(np.array([digest(s) & NODE for s in sets], np.int64), [len(c) for c in cells])
+                node = np.repeat(np.array(names, np.int64), [len(c) for c in cells])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*cells, np.zeros(0, np.int64)])), pa.array(node)], names=["cell", "node"])
 
-    table = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, sid long, point binary"))
-    reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
-    reps = scratch.save(reps.withColumn("node", F.col("sid").bitwiseAND(F.lit(NODE))))
-
-    # one shuffle by cell serves the distinct, the counts and the digest of the members
-    rows = texts.mapInArrow(deal, "cell long, node long").repartition("cell").dropDuplicates(["cell", "node"])
-    each = Window.partitionBy("cell")
-    met = rows.withColumns({"m": F.count("*").over(each), "sig": F.sum(F.xxhash64("node") / 4096).over(each)}).where("m > 1")
-    met = met.select(F.xxhash64("sig", "m", F.min("node").over(each)).alias("k"), "node", "m").distinct()
-    met = scratch.save(met)
+    table = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, sid binary, point binary"))
+    reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies"))
+    reps = scratch.save(reps.withColumn("node", F.conv(F.substring(F.hex("sid"), 7, 10), 16, 10).cast("long")))  # as node_of
+    met = _shared_cells(texts.mapInArrow(deal, "cell long, node long"), scratch)
     joins = _dealt(met.join(reps.select("node", "n", "point"), "node"), "k", "node", F.ceil(F.col("m") / CELL_POINTS), met.count())
     joins = joins.groupBy("k0", "k1", "k2").applyInPandas(lambda f: _join_points(f, num, den), "src long, dst long")
     blocks = scratch.save(C.connected_components(joins, scratch))
 
-    load = blocks.join(reps, "node").groupBy("root").agg(F.sum("n").alias("load"))
+    inside = scratch.save(blocks.join(reps.select("node", "sid", "doc_id", "n", "copies"), "node"))
+    load = inside.groupBy("root").agg(F.sum("n").alias("load"))
     chunks = F.greatest(F.least(F.ceil(F.col("load") / CHUNK_SHINGLES), F.lit(CHUNKS)), F.ceil(F.col("load") / MOST_SHINGLES))
-    members = scratch.save(blocks.join(reps, "node").join(load, "root").where("doc_id is not null").select("doc_id", "sid", F.col("root").alias("k"), chunks.alias("chunks")))
+    heavy = scratch.save(load.where(F.col("load") > CHUNK_SHINGLES).select("root", chunks.alias("chunks")))
+    members = C.keyed_join(inside, heavy, "root", heavy.count(), "left")
+    members = scratch.save(members.select("doc_id", "sid", "copies", F.col("root").alias("k"), F.coalesce("chunks", F.lit(1).cast("long")).alias("chunks")))
     count, most = members.agg(F.count("*"), F.max("chunks")).first()
     sent = _dealt(members, "k", "sid", F.col("chunks"), count * 16)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("sid")
-        out = []
+        out = [pd.DataFrame({"src": [], "dst": [], "links": []})]
         for _, block in frame.groupby("k", sort=False):
             batch = pa.RecordBatch.from_arrays([pa.array(block["text"].tolist(), pa.large_string())], names=["text"])
             sets = [s for _, d, o in C.text_steps(batch) for s in shingle_sets(d, o, words)]
-            root = components_within(sets, num, den)
-            ids = block["sid"].to_numpy()
-            out.append(pd.DataFrame({"src": ids, "dst": ids[root]}))
+            # a doc_id may have other texts too, and one text several rows
+            at = {d: i for i, (s, d) in enumerate(zip(sets, block["sid"], strict=True)) if digest(s) == d}
+            keep = sorted(at.values())
+            sets, ids = [sets[i] for i in keep], block["sid"].to_numpy()[keep]
+            if count_links and len(sets):
+                own, total = block["own"].to_numpy()[keep], int(block["chunks"].iloc[0])
+                here = {int(block["k1"].iloc[0]), int(block["k2"].iloc[0])}
+                counted = {c for c in set(own.tolist()) if total == 1 or here == {c, (c + 1) % total}}
+                root, links = links_within(sets, block["copies"].to_numpy()[keep], own, counted, num, den)
+            else:
+                root = components_within(sets, num, den)
+                links = np.zeros(len(sets), np.int64)
+            out.append(pd.DataFrame({"src": ids, "dst": ids[root], "links": links}))
         return pd.concat(out)
 
-    few = count * min(most or 1, CHUNKS) <= BROADCAST_ROWS and (most or 1) <= CHUNKS
-    links = texts.join(F.broadcast(sent) if few else sent, "doc_id").groupBy("k0", "k1", "k2").applyInPandas(search, "src long, dst long")
-    classes = C.connected_components(links, scratch)
-    per_set = reps.select("sid", "doc_id").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = per_set.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = per_set.join(smallest, "root").select("sid", "component_id")
-    return (
-        table.join(named, "sid", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"))
-    )
+    few = count * min(most or 1, CHUNKS) <= C.BROADCAST_ROWS and (most or 1) <= CHUNKS
+    # a set that only rows without doc_id have takes its text from one of them
+    lost = members.where("doc_id is null").select("sid").limit(1).count()
+    met_texts = texts.join(F.broadcast(sent) if few else sent, "doc_id")
+    if lost:
+        named = texts.where("doc_id is null").dropDuplicates(["text"]).mapInArrow(sketch_of(words), "text string, sid binary")
+        met_texts = met_texts.unionByName(named.join(sent.where("doc_id is null"), "sid").select(met_texts.columns))
+    links = scratch.save(met_texts.groupBy("k0", "k1", "k2").applyInPandas(search, "src binary, dst binary, links long"))
+    classes = scratch.save(C.connected_components(links.select("src", "dst"), scratch).withColumnRenamed("node", "sid"))
+    n = classes.count()
+    per_set = reps.select("sid", "doc_id", "copies").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    smallest = scratch.save(classes.join(reps.select("sid", "doc_id"), "sid").groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    sums = links.groupBy(F.col("src").alias("sid")).agg(F.sum("links").alias("links"))
+    named = C.keyed_join(per_set, smallest, "root", n, "left").join(sums, "sid", "left")
+    named = scratch.save(named.select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    out = C.keyed_join(table.drop("point"), named, "sid", named.count(), "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("sid").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if count_links else out.drop("n_links")
+
+
+def sketch_of(words: int):
+    """Texts with the digests of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in C.text_steps(batch):
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([digest(s) for s in shingle_sets(data, offsets, words)], pa.binary())], names=["text", "sid"])
+
+    return run
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class; rows without doc_id stay."""
-    classes = ngram_jaccard_join(docs, words, num, den)
-    dropped = classes.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose doc_id is the smallest of its class, with all columns; rows without doc_id stay.
+
+    Rows repeated with one doc_id stay or go together, and a doc_id with several
+    texts goes if one of them has a smaller document in its class.  Null, empty
+    and blank texts stay; an empty table stays empty.
+    """
+    classes = ngram_jaccard_join(docs, words, num, den, count_links=False)
+    dropped = C.Scratch(docs.sparkSession).save(classes.where("component_id < doc_id").select("doc_id").distinct())
+    gone = F.broadcast(dropped) if dropped.count() <= C.BROADCAST_ROWS else dropped
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

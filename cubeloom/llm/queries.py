@@ -12,7 +12,7 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard.ngram_jaccard_join(common.documents(spark, sf_dir), words=3, num=9, den=10)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,10 @@ shared as (select a.doc_id as x, b.doc_id as y, count(*) as i from grams a join
 links as (
   select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * i >= 90 * (a.n + b.n - i)),
 both_ways as (select x, y from links union select y, x from links),
-reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.y from reach r join both_ways l on l.x = r.other)
-select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id from documents d left join sizes s using (doc_id)
+reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.y from reach r join both_ways l on l.x = r.other),
+degree as (select x as doc_id, count(*) as n_links from both_ways group by 1)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id, coalesce(g.n_links, 0) as n_links
+from documents d left join sizes s using (doc_id) left join degree g using (doc_id)
 join (select doc_id, min(other) as component_id from reach group by 1) r using (doc_id)""",
     "op10_url_filter": url_filter.oracle(),
 }

@@ -47,43 +47,83 @@ def docs(spark, corpus):
 
 
 def plain_components(corpus, words, num, den):
+    """(set size, smallest reachable, links) of each row, from all pairs."""
     sets = {}
     for i, t in corpus:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
         sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+    root, links = {i: i for i in sets}, collections.Counter()
     ids = sorted(sets)
     for a in ids:
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 k = len(sets[a] & sets[b])
-                if den * k >= num * (len(sets[a]) + len(sets[b]) - k) and root[a] != root[b]:
-                    x, y = sorted((root[a], root[b]))
-                    root = {i: x if r == y else r for i, r in root.items()}
-    return {i: (len(sets[i]), root[i]) for i in ids}
+                if den * k >= num * (len(sets[a]) + len(sets[b]) - k):
+                    links.update((a, b))
+                    if root[a] != root[b]:
+                        x, y = sorted((root[a], root[b]))
+                        root = {i: x if r == y else r for i, r in root.items()}
+    return {i: (len(sets[i]), root[i], links[i]) for i in ids}
+
+
+def joined(df, **args):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.ngram_jaccard_join(df, **args).collect()}
 
 
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 9, 10), (5, 8, 10)])
 def test_jaccard_join(docs, corpus, words, num, den, monkeypatch):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(docs, words, num, den).collect()}
     want = plain_components(corpus, words, num, den)
-    assert got == want
-    monkeypatch.setattr(ngram_jaccard, "CHUNK_SHINGLES", 500)
-    monkeypatch.setattr(ngram_jaccard, "CELL_POINTS", 5)
-    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(docs, words, num, den).collect()}
-    assert got == want
+    assert joined(docs, words=words, num=num, den=den) == want
+    if words == 3:
+        return
+    # chunked blocks, hot cells and salted joins
+    for name, value in (("CHUNK_SHINGLES", 500), ("CELL_POINTS", 5), ("BUCKETS", 64)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    for name, value in (("BROADCAST_ROWS", 0), ("HOT_ROWS", 5)):
+        monkeypatch.setattr(common, name, value)
+    assert joined(docs, words=words, num=num, den=den) == want
+
+
+def test_tree_finds_all_that_the_bound_allows():
+    """Every level prunes only what the count vectors rule out, with points removed on the way."""
+    rnd = np.random.default_rng(4)
+    points = rnd.integers(0, 4, (700, 16))
+    points[300:] = np.maximum(points[rnd.integers(0, 300, 400)] + rnd.integers(-1, 2, (400, 16)) * (rnd.random((400, 16)) < 0.1), 0)
+    sizes = points.sum(axis=1)
+    tree = ngram_jaccard.CountVectorRTree(points, sizes, 8, 10)
+    assert len(tree.levels) == 3
+    gone = set()
+    for q in range(0, 700, 7):
+        bound = np.minimum(points, points[q]).sum(axis=1)
+        want = {i for i in range(700) if i not in gone and 10 * bound[i] >= 8 * (sizes[i] + sizes[q] - bound[i])}
+        assert set(tree.query(points[q], int(sizes[q])).tolist()) == want
+        tree.remove(np.array([q, (q * 3) % 700]))
+        gone |= {q, (q * 3) % 700}
+
+
+def test_jaccard_join_odd_ids(spark):
+    """Null doc_ids get the class of their text, a doc_id may repeat a row or have several texts."""
+    a, b = prose(40), prose(40)
+    near = a.rsplit(" ", 1)[0] + " zz"
+    rows = [(None, a), (5, near), (5, near), (7, b), (8, b), (7, a), (None, "alone here"), (None, None), (9, ""), (None, "two words"), (None, "TWO words"), (1, b + " " + prose(9000))]
+    got = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shown = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str)
+    n = len(rows[-1][1].split()) - 4
+    sets = {x: len({tuple(x.lower().split()[k : k + 5]) for k in range(36)}) for x in (a, b, near)}
+    big = len({tuple(rows[-1][1].split()[k : k + 5]) for k in range(n)})
+    want = [(None, sets[a], 5, 3), (5, sets[near], 5, 3), (5, sets[near], 5, 3), (7, sets[a], 5, 3), (7, sets[b], 7, 1), (8, sets[b], 7, 1), (None, 1, None, 0), (None, 0, None, 0), (9, 0, 9, 0), (None, 1, None, 1), (None, 1, None, 1), (1, big, 1, 0)]
+    assert shown == sorted(want, key=str)
 
 
 def test_jaccard_join_empty_table_and_stage(docs, corpus):
     assert ngram_jaccard.ngram_jaccard_join(docs.limit(0)).count() == 0
     kept = ngram_jaccard.keep_representatives(docs)
     assert kept.columns == docs.columns
-    want = {i for i, (_, root) in plain_components(corpus, 5, 8, 10).items() if root == i}
+    want = {i for i, (_, root, _) in plain_components(corpus, 5, 8, 10).items() if root == i}
     assert {r.doc_id for r in kept.collect()} == want
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 600)]
     root = {x: x for e in edges for x in e}
@@ -94,6 +134,15 @@ def test_components(spark):
     got = {r.node: r.root for r in common.connected_components(df, common.Scratch(spark)).collect()}
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in root.items() if k in touched}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    star = spark.createDataFrame([(500, k) for k in range(501, 560)] + [(1, 2), (2, 3), (559, 4), (7, 7)], "src long, dst long").coalesce(1)
+    got = {r.node: r.root for r in common.connected_components(star, common.Scratch(spark)).collect()}
+    assert got == {**{k: 4 for k in [4, *range(500, 560)]}, 1: 1, 2: 1, 3: 1}
+    left = spark.createDataFrame([(k % 2, k) for k in range(100)] + [(9, 1)], "key int, v int")
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "key int, name string")
+    got = sorted((r.v, r.name) for r in common.keyed_join(left, names, "key", 2, "left").collect() if r.key < 9)
+    assert got == [(k, "ab"[k % 2]) for k in range(100)] and common.keyed_join(left, names, "key", 2).count() == 100
 
 
 def test_sharding(docs, corpus):
