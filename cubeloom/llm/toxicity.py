@@ -124,6 +124,8 @@ class CharacterModel:
         self.two, first = np.unique(trigrams >> 21, return_index=True)
         self.sums = np.add.reduceat(counts, first) if len(first) else counts
         self.size = max(2, len(np.unique(trigrams & 0x1FFFFF)))
+        #: Letters from which on the rest of a word tells nothing more.
+        self.reach = math.inf
         self.memo: dict[str, float] = {}
 
     @staticmethod
@@ -158,14 +160,14 @@ class CharacterModel:
         return total, last
 
     def _moved(self, states: dict, ways: list) -> dict:
-        """States (the last two letters) after a run; a path is (last piece, the path before it), so a step costs the same however long the word."""
+        """States (the last two letters) after a run; a path is (last piece, the path before it, letters), so a step costs the same however long the word."""
         new: dict[str, tuple[float, tuple | None]] = {}
         for last, (cost, path) in states.items():
             for extra, text in ways:
                 gain, a = self._along(last, text)
                 total = cost + extra + gain
                 if a not in new or total > new[a][0]:
-                    new[a] = (total, (text, path))
+                    new[a] = (total, (text, path, len(text) + (path[2] if path else 0)))
         return new
 
     def _end(self, states: dict) -> tuple[float, tuple | None]:
@@ -174,7 +176,9 @@ class CharacterModel:
     def decode(self, span: str) -> str:
         """The best restored word of a span, by Viterbi over its lattice."""
         states = {"^^": (0.0, None)}
-        for m in re.finditer(r"(.)\1*", span, re.S):
+        for k, m in enumerate(re.finditer(r"(.)\1*", span, re.S)):
+            if k % 2048 == 2047:  # paths as texts, which take less
+                states = {a: (c, (_path_text(path), None, path[2])) for a, (c, path) in states.items()}
             states = self._moved(states, self._ways(m[0][0], len(m[0])))
         return _path_text(self._end(states)[1])
 
@@ -183,13 +187,15 @@ class CharacterModel:
         two letters or more between two separators whose best path through the lattice loses at most SLACK.
 
         One pass from either end gives the best path through each state; a word only grows over states with a
-        path good enough, so the work follows the paths that are kept and not the length of words.
+        path good enough.  Once it has more letters than ``reach``, as many as any term needs to be told, its
+        paths so far stand for all longer words, so the work is in proportion to the span.
         """
         parts = span.split(" ")
         n = len(parts)
-        out = [self.decode("\n".join(parts))]
+        whole = self.decode("\n".join(parts))
         if not any(c.isalpha() for c in span):
-            return out
+            return [whole]
+        out = set()
         steps = [self._ways(x[0], len(x)) for x in parts]
         single = [ALONE if x in SINGLES else -math.inf for x in parts]
         start = "^^"
@@ -217,8 +223,11 @@ class CharacterModel:
                     break
                 cost, path = self._end(states)
                 if j > i and cost + behind[j + 1] >= least:
-                    out.append(_path_text(path))
-        return out
+                    out.add(_path_text(path))
+                if min(v[1][2] for v in states.values()) > self.reach:
+                    out.update(_path_text(v[1]) for v in states.values())
+                    break
+        return [whole, *sorted(out)]
 
     def _reach(self, states: dict[str, float], ways: list) -> dict[str, float]:
         """The best cost of each state after a run."""
@@ -381,6 +390,11 @@ class ToxicityModel:
             need[held] -= 1
         chosen = np.array(sorted(chosen, key=lambda c: names[c]), np.int64)
         self.keys = names[chosen]
+        # a longer word than every term is told by its beginning
+        data, offsets = _packed(bad)
+        starts, ends, _ = C.split_words(data, offsets, LETTERS)
+        terms = np.isin(C.hash_spans(data, starts, ends), self.keys)
+        self.characters.reach = max([*STARTS, *(ends - starts)[terms].tolist()])
         self.weights = (count[chosen] + 2 * self.base) / (count[chosen] + wrong[chosen] + 2)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

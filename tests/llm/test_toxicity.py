@@ -53,7 +53,7 @@ def test_decoder_against_all_paths(model):
 
 def test_spaced_decoder_against_all_segmentations(model):
     """All words of two letters or more on paths that lose at most SLACK, by enumeration of every segmentation."""
-    m, rnd = model.characters, random.Random(2)
+    m, rnd = toxicity.CharacterModel(model.characters.three, model.characters.counts), random.Random(2)
     for _ in range(120):
         parts = [rnd.choice(["l", "o", "s", "e", "r", "a", "0", "$", "ss", "m", "é"]) for _ in range(rnd.randrange(3, 8))]
         n = len(parts)
@@ -94,6 +94,18 @@ def test_long_spans(model):
     assert scores(model, ["x " * 3000, " ".join("bcdfg" * 400)]) == [False, False]
 
 
+def test_repeated_single_letters_stay_in_proportion(model):
+    """Spans whose segmentations are all alike: few words, and the same hits as without the stop."""
+    free = toxicity.CharacterModel(model.characters.three, model.characters.counts)
+    for span in ["a " * 2000, "l o s e r " * 300, "a b i o n " * 200, "é " * 500]:
+        got = model.characters.decode_spaced(span.strip())
+        assert sum(map(len, got)) < 60 * len(span)
+        short = span[:90].strip()
+        hits = lambda words: set(model._hits(*toxicity._packed(["\n".join(words)]))[0].tolist())
+        assert hits(model.characters.decode_spaced(short)) == hits(free.decode_spaced(short))
+    assert model.characters.reach < 20 and len(free.decode("ab0c" * 30_000)) == 120_000
+
+
 def test_long_texts_are_sampled(spark):
     """A long labelled text takes part by a stretch of it; short ones whole."""
     long = "".join(chr(97 + k % 26) for k in range(500))
