@@ -8,14 +8,14 @@ from how much groups differ.  A document's score adds its path's shift to its
 own evidence.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows (eight numbers
-each); all sums run over all documents.
+each) outside the held-out fold; all sums run over all documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -78,11 +78,11 @@ def _measured(docs: DataFrame) -> DataFrame:
     return C.append_columns(docs, lambda: lambda part, data, offsets: [pa.array(list(features_of(data, offsets)), pa.list_(pa.float64()))], "array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Logistic | None:
-    """A classifier from labelled rows; none unless both classes are seen."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: int = 4, held: int = 1) -> Logistic | None:
+    """A classifier from labelled rows outside the held-out fold; none unless both classes are seen."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = docs.select("doc_id", "text")
-    chosen = C.bounded_sample(docs, F.col("text").isNotNull(), rows, 5, marks)
+    chosen = C.bounded_sample(docs, F.col("text").isNotNull() & (C.crc_mod("doc_id", fold) != held), rows, 5, marks)
     found = _measured(docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality"))
     # one row a doc_id, however often it is repeated
     got = found.groupBy(F.col("c0").alias("doc_id")).agg(F.first("c2").alias("y"), F.min("x0").alias("x")).collect()
@@ -93,23 +93,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Logisti
     return Logistic(np.array([r.x for r in got]), y)
 
 
-def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
-    """Prior strength a of groups with n documents and mean probability s/n: between-group variance is mean(1-mean)/(a+1)."""
-    k, docs, between, within = groups.agg(F.count("*"), F.sum(n), F.sum(F.col(n) * (F.col(s) / F.col(n) - mean) ** 2), F.sum("q")).first()
-    if not docs or k < 2:
+def _strength(groups: DataFrame, n: str, s: str, mean: Column, parents: int) -> float:
+    """Prior strength of groups around their parents' means, by the method of moments.
+
+    ``n`` documents of a group sum to ``s`` and their squares to q; ``parents``
+    means were taken from the same documents.  With between-group variance v, a
+    beta prior of strength a has v = mean * (1 - mean) / (a + 1).
+    """
+    own = F.col(s) / F.col(n)
+    k, docs, between, within, whole = groups.agg(F.count("*"), F.sum(n), F.sum(F.col(n) * (own - mean) ** 2), F.sum(F.col("q") - F.col(n) * own**2), F.sum(F.col(n) * mean * (1 - mean))).first()
+    if not docs or k <= parents:
         return STRONGEST
-    noise = (within - docs * mean * mean - between) / max(docs - k, 1)  # within-group variance
-    spread = max(0.0, (between - (k - 1) * noise) / docs)
-    return float(np.clip(mean * (1 - mean) / spread - 1 if spread > 0 else STRONGEST, WEAKEST, STRONGEST))
+    noise = within / max(docs - k, 1)  # within-group variance
+    spread = max(0.0, (between - (k - parents) * noise) / docs)
+    return float(np.clip(whole / docs / spread - 1 if spread > 0 else STRONGEST, WEAKEST, STRONGEST))
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", limit: float = 0.5) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, score, keep of every row.
+    """doc_id, host, path, held_out, evidence, host_posterior, path_posterior, score, keep of every row.
 
     ``host`` and ``path`` name the site columns; null stands for one unknown
-    site.  Null and empty texts have the features of an empty text.  Without
-    labels of both classes evidence is 0.5 throughout.  Repeated rows count
-    each in their site's sums; an empty table gives none.
+    site.  Null and empty texts have the features of an empty text, very long
+    ones are measured whole.  Without labels of both classes evidence is 0.5
+    throughout.  Repeated rows count each in their site's sums; a null doc_id
+    keeps its row and counts as an empty one for its fold; other columns are
+    ignored, whatever their names; an empty table gives none.
     """
     scratch = C.Scratch(docs.sparkSession)
     model = train(docs, labels)
@@ -124,13 +132,16 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     found = scratch.save(found)
     # sites: sums over all documents, pre-aggregated on each task
     paths = scratch.save(found.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") ** 2).alias("q")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("q"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    hosts = scratch.save(hosts)
     n, s = paths.agg(F.sum("n"), F.sum("s")).first()
     mean = float(np.clip((s or 0.5) / (n or 1), 1e-4, 1 - 1e-4))
-    a, b = _strength(hosts, mean, "hn", "hs"), _strength(paths, mean, "n", "s")
-    sites = paths.join(hosts.select("host", "hn", "hs"), "host").withColumn("host_posterior", (F.col("hs") + a * mean) / (F.col("hn") + a))
+    sites = scratch.save(paths.join(hosts.select("host", "hn", "hs"), "host"))
+    a = _strength(hosts, "n", "s", F.lit(mean), 1)
+    b = _strength(sites, "n", "s", F.col("hs") / F.col("hn"), hosts.count())
+    sites = sites.withColumn("host_posterior", (F.col("hs") + a * mean) / (F.col("hn") + a))
     sites = sites.withColumn("path_posterior", (F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).select("host", "path", "host_posterior", "path_posterior")
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     total = logit(F.col("evidence")) + logit(F.col("path_posterior")) - float(np.log(mean / (1 - mean)))
     out = found.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-total)))
-    return out.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= limit).alias("keep"))
+    return out.select("doc_id", "host", "path", (C.crc_mod("doc_id", 4) == 1).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= limit).alias("keep"))
