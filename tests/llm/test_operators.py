@@ -302,11 +302,26 @@ def test_png():
         assert (media.unfilter(rows) == px).all()
 
 
+def plain_hash(pixels):
+    """Signs of the lowest frequencies of a cosine transform by its definition, over the 32 x 32 mean image."""
+    h, w = pixels.shape
+    cells = lambda n: [(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1)) for k in range(32)]
+    small = np.array([[pixels[a:b, c:d].astype(float).mean() for c, d in cells(w)] for a, b in cells(h)])
+    wave = [[np.cos(np.pi * (2 * x + 1) * u / 64) for x in range(32)] for u in range(8)]
+    low = [round(sum(small[y, x] * wave[u][y] * wave[v][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    return "".join(str(int(x > np.median(low[1:]))) for x in low)
+
+
 def test_media(docs, corpus):
+    texts = dict(corpus)
+    files = {r.doc_id: bytes(r.media) for r in media.media_columns(docs).collect()}
     for r in media.media_digests(media.media_columns(docs)).collect():
-        raw = (dict(corpus)[r.doc_id] or "").encode()
+        raw = (texts[r.doc_id] or "").encode()
         pad = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        if r.doc_id % 40 == 0 or len(raw) > 5000:
+            assert f"{int(r.feature, 16):064b}" == plain_hash(np.frombuffer(pad, np.uint8).reshape(-1, 64))
 
 
 def test_url_filter(spark):
@@ -317,6 +332,14 @@ def test_url_filter(spark):
         ("b.net", "/de/8", "net/de/", "allow"), ("b.example.net", "/de/8", "example.net/de/8", "block"), ("casino.io", "/", None, "block"), ("casinos.io", "/", None, "allow"),
         ("free-bets.io", "/p", None, "block"), ("free.io", "/free", None, "allow"), ("u.com", "/en", None, "allow"),
     ]
+    more = spark.createDataFrame([(1, "http://q.io/?x=CASINO#y"), (2, "casino.io/a"), (3, "http://a.m.com/ab"), (4, "http://q.io/?a=free&b=win"), (5, "http://x.io/" + "free " * 50_000)], "page_id long, url string")
+    rules = (("m.com", "/", "allow"), ("com", "/abc", "block"), ("com", "/ab", "block"), ("m.com", "/", "block"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(more, rules=rules).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: ("com/ab", "block"), 4: (None, "block"), 5: (None, "allow")}
+    terms = spark.createDataFrame([("Casino", 2), ("free", 1), ("free", 2), ("win", 1), (None, 1), ("off", 0)], "term string, weight int")
+    assert url_filter.vocabulary(terms) == (("casino", "free"), ("win",))
+    with pytest.raises(ValueError, match="more than 1"):
+        url_filter.vocabulary(terms, 1)
 
 
 def test_forward_backward_against_enumeration():
@@ -412,12 +435,33 @@ def test_toxicity_suspects_hold_all_restored(toxic_model):
 
 def test_quality(spark):
     d, marks = common.documents(spark, SF), common.documents(spark, SF, "labels")
-    got = quality.quality(d, marks).join(marks, "doc_id").collect()
-    assert np.mean([r.keep == bool(r.quality) for r in got]) > 0.95
-    assert all(0 < r.path_posterior < 1 for r in got)
-    assert quality.quality(d.limit(0), marks.limit(0)).count() == 0
-    odd = spark.createDataFrame([(1, None, None, None), (2, "", "s", "en")], "doc_id long, text string, lang string, source string")
-    assert quality.quality(odd, marks).count() == 2
+    found = quality.quality(d, marks).cache()
+    got = found.join(marks, "doc_id").where("held_out").collect()
+    assert len(got) > 50 and np.mean([r.keep == bool(r.quality) for r in got]) > 0.93
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 1) for r in got)
+    # posteriors from plain sums
+    rows = found.collect()
+    sites, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        sites[r.host, r.path].append(r.evidence)
+        hosts[r.host].append(r.evidence)
+    n = len(rows)
+    mean = sum(r.evidence for r in rows) / n
+
+    def strength(groups, parent, parents):
+        noise = sum((x - np.mean(v)) ** 2 for v in groups.values() for x in v) / (n - len(groups))
+        between = sum(len(v) * (np.mean(v) - parent(k)) ** 2 for k, v in groups.items())
+        spread = max(0.0, (between - (len(groups) - parents) * noise) / n)
+        whole = sum(len(v) * parent(k) * (1 - parent(k)) for k, v in groups.items()) / n
+        return float(np.clip(whole / spread - 1 if spread else quality.STRONGEST, quality.WEAKEST, quality.STRONGEST))
+
+    a, b = strength(hosts, lambda k: mean, 1), strength(sites, lambda k: np.mean(hosts[k[0]]), len(hosts))
+    for r in rows:
+        h, p = hosts[r.host], sites[r.host, r.path]
+        host = (sum(h) + a * mean) / (len(h) + a)
+        path = (sum(p) + b * host) / (len(p) + b)
+        odds = r.evidence / (1 - r.evidence) * path / (1 - path) * (1 - mean) / mean
+        assert np.allclose([r.host_posterior, r.path_posterior, r.score], [host, path, odds / (1 + odds)], atol=1e-6)
 
 
 def test_pipeline(spark):
