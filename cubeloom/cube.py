@@ -33,15 +33,16 @@ class Cube(aggregate.Aggregation, combine.Combination, resample.Resampling, spat
         return Cube(df, dims, tuple(c for c in df.columns if c not in dims.names))
 
     @staticmethod
-    def from_table(df: DataFrame, keys: list[str], xy: tuple[str, str] | None = None, y_decreasing: bool = True, order: str | None = None, most: int = 1_000_000) -> Cube:
+    def from_table(df: DataFrame, keys: list[str], xy: tuple[str, str] | None = None, y_decreasing: bool = True, order: str | None = None, most: int = 1_000_000, unique: bool = False) -> Cube:
         """A cube from rows keyed by dimension values: sorted distinct values become the axes (y from the top).
 
-        Duplicate keys need ``order``: the row with the largest keeps its place.  Axis tables come to the
-        driver and are refused beyond ``most`` values.
+        Of duplicate keys one row keeps its place: the one with the largest ``order``, or without it the
+        largest values, as tables have no last row.  Axis tables come to the driver and are refused beyond
+        ``most`` values.  ``unique`` says that keys are known to differ, as behind a grouping.
         """
         rest = [c for c in df.columns if c not in keys and c != order]
-        if order:
-            df = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v")).select(*keys, "_v.*")
+        if order or not unique:
+            df = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest) if order else F.struct(*rest)).alias("_v")).select(*keys, "_v.*")
         axes, out = [], df.where(" and ".join(f"`{k}` is not null" for k in keys))
         for k in keys:
             values = sorted((r[0] for r in df.select(k).where(F.col(k).isNotNull()).distinct().limit(most + 1).collect()), reverse=bool(xy and k == xy[1] and y_decreasing))
@@ -97,13 +98,15 @@ class Cube(aggregate.Aggregation, combine.Combination, resample.Resampling, spat
 
     def dense(self) -> DataFrame:
         """All cells, absent ones with missing attributes."""
-        spark = self.df.sparkSession
-        total = math.prod(self.dims.shape)
+        return self._grid(self.index).join(self.df, self.index, "left")
+
+    def _grid(self, names: list[str], **more: int) -> DataFrame:
+        """The indexes of every cell of some axes, and of further axes of given sizes, by arithmetic on one range."""
         cols, step = [], 1
-        for d in self.dims.dims:
-            cols.append((F.floor(F.col("id") / step) % d.n + 1).cast("int").alias(d.name))
-            step *= d.n
-        return spark.range(total).select(*cols).join(self.df, self.index, "left")
+        for name, n in {**{k: self.dims[k].n for k in names}, **more}.items():
+            cols.append((F.floor(F.col("id") / step) % n + 1).cast("int").alias(name))
+            step *= n
+        return self.df.sparkSession.range(step).select(*cols)
 
     # --------------------------------------------------------- projection
 

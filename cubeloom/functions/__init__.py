@@ -130,10 +130,10 @@ REDUCERS: dict[str, tuple[Callable[[Column], Column], float | None]] = {
 }
 
 
-def reducer(fun: str | Callable[[Column], Column], value: str, cells: int | None, na_rm: bool) -> Column:
+def reducer(fun: str | Callable[[Column], Column], value: str, cells: int | Column | None, na_rm: bool) -> Column:
     """A reducer with array semantics: missing if any of the ``cells`` is, unless ``na_rm``."""
     if fun == "length":
-        return F.lit(float(cells)) if cells is not None else F.count(F.lit(1)).cast("double")
+        return F.lit(cells).cast("double") if cells is not None else F.count(F.lit(1)).cast("double")
     agg, empty = REDUCERS[fun] if isinstance(fun, str) else (fun, None)
     clean = F.when(~is_na(F.col(value)), F.col(value))
     if na_rm:

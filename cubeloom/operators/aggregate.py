@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import math
 from collections.abc import Callable
@@ -86,7 +87,7 @@ class Aggregation:
         """Groups [a, b) between breaks; the axis has one slot for each break, so the last is empty."""
         d = self.dims[dim]
         values = d.coords()
-        group = [sum(1 for b in breaks if (b < v if left_open else b <= v)) for v in values]
+        group = [(bisect.bisect_left if left_open else bisect.bisect_right)(breaks, v) for v in values]
         cells = {g: group.count(g) for g in set(group) if 1 <= g < len(breaks)}
         key = F.element_at(literal_array([g if g in cells else None for g in group], "int"), F.col(dim)) if len(values) <= 20_000 else interval_of(d.coord(F.col(dim)), breaks, left_open)
         return self._grouped(key, dim, Dim.of(dim, breaks), fun, na_rm, cells)
@@ -107,14 +108,17 @@ class Aggregation:
         return self._grouped(F.element_at(literal_array(at, "int"), F.col(dim)), dim, Dim(dim, len(levels), values=tuple(levels)), fun, na_rm, cells)
 
     def aggregate_blocks(self, blocks: dict[str, int], fun: str, na_rm: bool = False):
-        """Groups of whole blocks of a regular raster, as index arithmetic: no spatial join."""
-        df, dims, cells = self.df, self.dims, 1
+        """Groups of blocks of a regular raster, as index arithmetic: no spatial join.  Blocks at the far edges hold the cells that are left."""
+        df, dims = self.df, self.dims
+        cells = F.lit(1)
         for n, k in blocks.items():
             d = dims[n]
             df = df.withColumn(n, (F.floor((F.col(n) - 1) / k) + 1).cast("int"))
             dims = dims.put(replace(d, n=math.ceil(d.n / k), offset=d.at(1), delta=d.delta * k, first=1))
-            cells *= k
-        return type(self)(df.groupBy(*self.index).agg(*[C.reducer(fun, a, cells, na_rm).alias(a) for a in self.attrs]), dims, self.attrs)
+            cells = cells * F.least(F.lit(k), F.lit(d.n) - (F.col(n) - 1) * k)
+        ragged = any(self.dims[n].n % k for n, k in blocks.items())
+        whole = math.prod(blocks.values()) if not ragged else F.max(cells)
+        return type(self)(df.groupBy(*self.index).agg(*[C.reducer(fun, a, whole, na_rm).alias(a) for a in self.attrs]), dims, self.attrs)
 
     def aggregate_rectangles(self, boxes: list[tuple], fun: str = "mean", na_rm: bool = False, weights: Column | None = None):
         """Area-weighted mean or sum in each box, by exact overlap of cells and boxes; boxes become the first axis."""

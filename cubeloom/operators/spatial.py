@@ -101,8 +101,9 @@ class Spatial:
         df = self.df.withColumn("geometry", group).where("geometry is not null")
         out = df.groupBy("geometry", *rest).agg(*[C.reducer(fun, a, None, na_rm).alias(a) for a in self.attrs])
         ids = df.sparkSession.range(1, len(rings) + 1).select(F.col("id").cast("int").alias("geometry"))
-        if not rest:
-            out = ids.join(out, "geometry", "left")
+        if rest:  # a row for each polygon and cell of the other axes, by arithmetic
+            ids = self._grid(rest, geometry=len(rings))
+        out = ids.join(out, ["geometry", *rest], "left")
         dims = Dimensions((Dim("geometry", len(rings), values=tuple(map(tuple, rings))), *[self.dims[n] for n in rest]), crs=self.dims.crs)
         return type(self)(out, dims, self.attrs)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .cube import Cube
 from .dims import Dim, Dimensions, tiles
-from .operators.spatial import rotate_pole
+from .operators.spatial import rotate_pole, web_mercator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +50,7 @@ def sales(spark: SparkSession, d: str) -> Cube:
     """Revenue by return flag, line status and ship day."""
     li = _table(spark, d, "lineitem")
     rows = li.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
-    return Cube.from_table(rows, ["flag", "status", "day"])
+    return Cube.from_table(rows, ["flag", "status", "day"], unique=True)
 
 
 SALES = "s as (select l_returnflag as flag, l_linestatus as status, cast(l_shipdate as date) as day, sum(l_extendedprice * (1 - l_discount)) as revenue from lineitem group by all)"
@@ -59,7 +59,7 @@ SALES = "s as (select l_returnflag as flag, l_linestatus as status, cast(l_shipd
 def event_days(spark: SparkSession, d: str) -> Cube:
     """Event counts and values by type and day."""
     rows = _table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("total"))
-    return Cube.from_table(rows, ["event_type", "day"])
+    return Cube.from_table(rows, ["event_type", "day"], unique=True)
 
 
 EVENTS = "e as (select event_type, cast(ts as date) as day, cast(count(*) as double) as n, sum(value) as total from events group by all)"
@@ -68,7 +68,7 @@ EVENTS = "e as (select event_type, cast(ts as date) as day, cast(count(*) as dou
 def parts(spark: SparkSession, d: str) -> Cube:
     """Mean price and count by size and brand; not every cell is there."""
     rows = _table(spark, d, "part").groupBy(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).agg(F.avg("p_retailprice").alias("price"), F.count("*").cast("double").alias("n"))
-    return Cube.from_table(rows, ["size", "brand"])
+    return Cube.from_table(rows, ["size", "brand"], unique=True)
 
 
 PARTS = "p as (select p_size as size, p_brand as brand, avg(p_retailprice) as price, cast(count(*) as double) as n from part group by all)"
@@ -249,6 +249,12 @@ def agg_spatial_blocks(spark, d):
     return _rounded(raster(spark, d).aggregate_blocks({"x": 16, "y": 50}, "mean", na_rm=True).df, "v")
 
 
+@_query(f"with {Q}, h as (select max(y) as n from q) select (x - 1) // 24 + 1 as x, (y - 1) // 7 + 1 as y, round(avg(v), 4) as v from q where x <= 60 group by all")
+def agg_blocks_ragged(spark, d):
+    """Edge blocks hold fewer cells and are still whole."""
+    return _rounded(raster(spark, d).isel(x=slice(1, 60)).aggregate_blocks({"x": 24, "y": 7}, "mean").df, "v")
+
+
 BOXES = [(0.5, 0.5, 10.25, 20.5), (5.0, 10.0, 40.0, 60.75), (60.0, 90.0, 70.0, 95.5)]
 
 
@@ -394,6 +400,65 @@ def agg_polygons(spark, d):
     return _rounded(raster(spark, d).aggregate_polygons(rings, "mean").df, "v")
 
 
+@_query(f"with {Q}, g as (select unnest(generate_series(1, 3)) as geometry), e as (select geometry, x from g, (select distinct x from q where x <= 4)) select cast(e.geometry as int) as geometry, cast(e.x as int) as band, round(a.v, 4) as v from e left join (select case when y - 0.5 < 8 then 1 else 3 end as geometry, x, avg(v) as v from q where x <= 4 and (y - 0.5 < 8 or y - 0.5 >= 10 and y - 0.5 < 20) group by all) a on a.geometry = e.geometry and a.x = e.x")
+def agg_polygons_empty(spark, d):
+    """A polygon without cells stays, with a missing value for each cell of the other axis."""
+    c = raster(spark, d).isel(x=slice(1, 4))
+    lines = Cube(c.df.select(F.col("x").alias("band"), F.lit(1).alias("x"), "y", "v"), Dimensions((Dim("band", 4), Dim("x", 1, 0.0, 1.0), c.dims["y"]), ("x", "y")), ("v",))
+    rings = [[(0, 0), (1, 0), (1, 8), (0, 8)], [(5, 5), (6, 5), (6, 6)], [(0, 10), (1, 10), (1, 20), (0, 20)]]
+    return _rounded(lines.aggregate_polygons(rings, "mean").df, "v")
+
+
+@_query(f"with {Q} select cast(y as int) as y, round(v, 6) as v from q where x = 5")
+def slice_drop(spark, d):
+    return _rounded(raster(spark, d).slice("x", 5).df, "v", digits=6)
+
+
+@_query(f"with {Q} select x, y, round(v, 6) as v from q where v > 0.05 and x <= 20")
+def mask_by_cube(spark, d):
+    c = raster(spark, d).isel(x=slice(1, 20))
+    return _rounded(c.mask(c.ops(">", 0.05)).df, "v", digits=6)
+
+
+@_query(f"with {P} select pid, case when floor(px) between 0 and 63 and py < (select max(vec_id) + 1 from embeddings) then cast(floor(py) * 64 + floor(px) + 1 as bigint) end as cell from pt")
+def cell_ids(spark, d):
+    return raster(spark, d).cell_ids(_points(spark, d)).select("pid", "cell")
+
+
+@_query(f"with {Q}, {P} select pid, round(v, 6) as v from pt join q on q.x = floor(px) + 1 and q.y = floor(py) + 1")
+def join_inner(spark, d):
+    return _rounded(raster(spark, d).join_inner(_points(spark, d)).select("pid", "v"), "v", digits=6)
+
+
+@_query(f"with {Q}, b as (select * from (values (1, 0.0, 0.0, 6.5, 9.25), (2, 30.0, 4.5, 31.0, 6.0)) t(geometry, x0, y0, x1, y1)) select geometry, round(sum(v * greatest(0, least(x, x1) - greatest(x - 1, x0)) * greatest(0, least(y, y1) - greatest(y - 1, y0))), 4) as v from q, b where x > x0 and x - 1 < x1 and y > y0 and y - 1 < y1 group by 1")
+def interpolate_area(spark, d):
+    return _rounded(raster(spark, d).interpolate_aw([(0.0, 0.0, 6.5, 9.25), (30.0, 4.5, 31.0, 6.0)], extensive=True).df, "v")
+
+
+@_query(f"with {EVENTS} select event_type, day, n from e where day < date '2024-01-10' or day >= date '2024-01-15'")
+def concat_times(spark, d):
+    c = event_days(spark, d).select("n")
+    early, late = c.filter(day=lambda v: v < dt.date(2024, 1, 10)), c.filter(day=lambda v: v >= dt.date(2024, 1, 15))
+    return early.concat_time(late, along="day").long()
+
+
+@_query(f"with {Q} select x - 3 as x, y - 5 as y, round(v, 6) as v from q where x - 0.5 >= 3 and y - 0.5 >= 5 and (x - 0.5 - 3) / 20 + (y - 0.5 - 5) / 30 < 1")
+def crop_triangle(spark, d):
+    return _rounded(raster(spark, d).crop_polygon([(3, 5), (23, 5), (3, 35)]).df, "v", digits=6)
+
+
+@_query("select c_custkey as pid, round(radians(c_nationkey * 5.0 - 60) * 6378137.0, 2) as x, round(ln(tan(pi() / 4 + radians(c_custkey % 60 - 30.0) / 2)) * 6378137.0, 2) as y from customer")
+def mercator(spark, d):
+    x, y = web_mercator(F.col("c_nationkey") * 5.0 - 60, (F.col("c_custkey") % 60 - 30).cast("double"))
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@_query(f"with {Q} select x, y, x - 1::double as x0, cast(y as double) as y1, round(v, 6) as v from q where x <= 5")
+def cell_polygons(spark, d):
+    c = raster(spark, d).isel(x=slice(1, 5)).polygons()
+    return _rounded(c.select("x", "y", F.col("geometry")[0]["x"].alias("x0"), F.col("geometry")[2]["y"].alias("y1"), "v"), "v", digits=6)
+
+
 @_query(f"with {Q} select i as q, y, round((1 - f) * a.v + f * b.v, 4) as v from (select 3.25::double as i, 4 as lo, 0.25::double as f union all select 10.5, 11, 0.5) t join q a on a.x = lo join q b on b.x = lo + 1 and b.y = a.y".replace(" as q, y,", " as q, a.y,"))
 def extract_time_interp(spark, d):
     times = spark.createDataFrame([(3.25,), (10.5,)], "q double")
