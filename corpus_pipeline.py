@@ -15,10 +15,12 @@ from cubeloom.llm import bpe, common, decontamination, language_id, ngram_jaccar
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored under 0.7; null, empty and repeated rows as ``remove_toxic`` says, an empty table stays empty."""
     return toxicity.remove_toxic(docs, common.documents(spark, sf_dir, "labels"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language can be told; null, empty and repeated rows as ``keep_known`` says, an empty table stays empty."""
     return language_id.keep_known(docs)
 
 
@@ -28,10 +30,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a verbatim match of 13 words; odd rows as ``remove_contaminated`` says, an empty table stays empty."""
     return decontamination.remove_contaminated(docs, common.documents(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its ids and their number; null and empty texts have none, an empty table stays empty."""
     encoded = bpe.bpe_encode(docs)
     return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
@@ -44,7 +48,7 @@ STAGES = [
     ("bpe_encoding", bpe_stage),
 ]
 
-#: Learned stages can't be written in SQL; the tests hold each stage against a plain version.
+#: Learned stages can't be written in SQL; tests/llm holds the function behind each stage against a plain version.
 ORACLE_SQL = None
 
 
