@@ -213,18 +213,43 @@ class Cube(aggregate.Aggregation, combine.Combination, resample.Resampling, spat
     def isin(self, values: list) -> Cube:
         return self.with_df(self.df.select(*self.index, *[F.coalesce(F.col(a).isin(values), F.lit(False)).alias(a) for a in self.attrs]))
 
-    def cut(self, breaks: list[float], right: bool = True) -> Cube:
-        """Labels of the classes (a, b] (or [a, b)); outside is missing."""
+    def cut(self, breaks: list[float] | int, right: bool = True, labels: list[str] | None = None) -> Cube:
+        """Labels of the classes (a, b] (or [a, b)); outside is missing.
+
+        A number of classes makes equal widths from the lowest to the highest value of each attribute, the
+        outer limits a thousandth of that range further out (an action).
+        """
+        limits = self._equal_limits(breaks) if isinstance(breaks, int) else {a: list(breaks) for a in self.attrs}
         fmt = (lambda a, b: f"({a:g},{b:g}]") if right else (lambda a, b: f"[{a:g},{b:g})")
-        labels = [fmt(a, b) for a, b in zip(breaks, breaks[1:], strict=False)]
 
-        def label(c: Column) -> Column:
-            out = F.lit(None).cast("string")
-            for a, b, t in zip(breaks, breaks[1:], labels, strict=False):
+        def label(name: str) -> Column:
+            c, out, edges = F.col(name), F.lit(None).cast("string"), limits[name]
+            names = labels or [fmt(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+            if edges and len(names) != len(edges) - 1:
+                raise ValueError(f"{len(names)} labels for {len(edges) - 1} classes")
+            for a, b, t in zip(edges, edges[1:], names, strict=False):
                 out = F.when((c > a) & (c <= b) if right else (c >= a) & (c < b), t).otherwise(out)
-            return out
+            return out.alias(name)
+
+        return self.with_df(self.df.select(*self.index, *map(label, self.attrs)))
 
-        return self.with_df(self.df.select(*self.index, *[label(F.col(a)).alias(a) for a in self.attrs]))
+    def _equal_limits(self, classes: int) -> dict[str, list[float]]:
+        """Limits of equal classes by attribute; none where all is missing."""
+        if classes < 2:
+            raise ValueError("at least two classes")
+        number = lambda a: F.when(~C.is_na(F.col(a)), F.col(a).cast("double"))
+        ends = self.df.agg(*[f(number(a)) for a in self.attrs for f in (F.min, F.max)]).first()
+        out = {}
+        for k, a in enumerate(self.attrs):
+            low, high = ends[2 * k], ends[2 * k + 1]
+            if low is None:
+                out[a] = []
+                continue
+            margin = (high - low or abs(low) or 1.0) / 1000
+            inner = (low, high) if high > low else (low - margin, high + margin)
+            steps = [inner[0] + (inner[1] - inner[0]) * i / classes for i in range(1, classes)]
+            out[a] = [low - margin, *steps, high + margin]
+        return out
 
     # ---------------------------------------------------------- subsetting
 

@@ -172,6 +172,15 @@ class Dimensions:
         x, y = (self[n] for n in self.xy)
         return x.offset, x.delta, self.affine[0], y.offset, self.affine[1], y.delta
 
+    def resolution(self, every: bool = False, absolute: bool = True) -> dict[str, Any]:
+        """Steps of the raster's axes (or of ``every`` axis); None where an axis is not regular."""
+        out = {}
+        for d in self.dims:
+            if every or d.name in (self.xy or ()):
+                step = d.delta if d.regular else None
+                out[d.name] = abs(step) if absolute and step is not None else step
+        return out
+
     def affine_xy(self, col, row):
         g = self.geotransform()
         x, y = (self[n] for n in self.xy)

@@ -158,10 +158,15 @@ class Aggregation:
         rows = rows.withColumn(axis, F.explode(F.expr("sequence(greatest(_a - 1, 1), _b + 1)")))
         return lookup(self.df, axis, rows, boxes * d.n)
 
-    def area(self):
-        """Cell areas of the raster: products of widths."""
+    def area(self, radius: float | None = None):
+        """Cell areas of the raster: products of widths, or with a ``radius`` the areas between meridians and parallels (in degrees) of that sphere."""
         x, y = self.dims.xy
-        width = lambda n: F.abs(self.dims[n].coord(F.col(n), 1.0) - self.dims[n].coord(F.col(n), 0.0))
+        edge = lambda n, where: self.dims[n].coord(F.col(n), where)
+        if radius is not None:
+            sine = lambda where: F.sin(F.radians(edge(y, where)))
+            cell = F.abs(F.radians(edge(x, 1.0) - edge(x, 0.0)) * (sine(1.0) - sine(0.0))) * radius**2
+            return type(self)(self.df.select(x, y, cell.alias("area")).distinct(), self.dims.only([x, y]), ("area",))
+        width = lambda n: F.abs(edge(n, 1.0) - edge(n, 0.0))
         return type(self)(self.df.select(x, y, (width(x) * width(y)).alias("area")).distinct(), self.dims.only([x, y]), ("area",))
 
     def interpolate_aw(self, boxes: list[tuple], extensive: bool):

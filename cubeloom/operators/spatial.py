@@ -115,6 +115,13 @@ class Spatial:
         first = points.withColumns({nx: i, ny: j}).where(F.col(nx).isNotNull() & F.col(ny).isNotNull()).groupBy(nx, ny).agg(F.min_by(F.struct(*fields), key).alias("_f")).select(nx, ny, "_f.*")
         return type(self)(self.df.join(first, [nx, ny], "left").select(*self.index, *self.attrs, *fields), self.dims, (*self.attrs, *fields))
 
+    def join_semi(self, points: DataFrame, x: str = "px", y: str = "py"):
+        """Cells that hold any point; the others are missing.  Points are first reduced to their cells."""
+        nx, ny = self.dims.xy
+        i, j = self.cell_of(F.col(x), F.col(y))
+        hit = points.select(i.alias(nx), j.alias(ny)).distinct()
+        return self.with_df(self.df.join(hit, [nx, ny], "left_semi"))
+
     def join_inner(self, points: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
         nx, ny = self.dims.xy
         i, j = self.cell_of(F.col(x), F.col(y))

@@ -143,6 +143,16 @@ def cut_breaks(spark, d):
     return raster(spark, d).cut([-1, -0.1, 0.1, 1]).df
 
 
+@_query(f"with {Q}, r as (select min(v) as a, max(v) - min(v) as w from q) select x, y, case when v <= a + w / 4 then 'a' when v <= a + w * 2 / 4 then 'b' when v <= a + w * 3 / 4 then 'c' else 'd' end as v from q, r")
+def cut_classes(spark, d):
+    return raster(spark, d).cut(4, labels=["a", "b", "c", "d"]).df
+
+
+@_query(f"with {Q} select distinct x, y, round(radians(1) * (sin(radians(y)) - sin(radians(y - 1))) * 6371010.0 * 6371010.0, 0) as area from q where y <= 80")
+def area_sphere(spark, d):
+    return _rounded(raster(spark, d).isel(y=slice(1, 80)).area(radius=6371010.0).df, "area", digits=0)
+
+
 @_query(f"with {Q} select x, y, round(v, 6) as v, x - 0.5::double as x_value from q")
 def dim_to_attr(spark, d):
     return _rounded(raster(spark, d).dim_to_attr("x").df, "v", digits=6)
@@ -383,6 +393,11 @@ def rasterize_last(spark, d):
     return _rounded(raster(spark, d).rasterize_points(_points(spark, d), "bal", "pid").df, "v")
 
 
+@_query(f"with {Q}, {P} select x, y, round(v, 6) as v from q where (x, y) in (select (floor(px) + 1, floor(py) + 1) from pt)")
+def join_semi(spark, d):
+    return _rounded(raster(spark, d).join_semi(_points(spark, d)).df, "v", digits=6)
+
+
 @_query(f"with {Q}, {P}, c as (select floor(px) + 1 as x, floor(py) + 1 as y, min(pid) as pid from pt group by 1, 2) select q.x, q.y, round(v, 6) as v, pid from q left join c on c.x = q.x and c.y = q.y")
 def join_first_match(spark, d):
     return _rounded(raster(spark, d).join_first(_points(spark, d).select("pid", "px", "py"), "pid").df, "v", digits=6)

@@ -207,3 +207,21 @@ def test_moving_boxes_plan(spark):
     c = Cube.from_bbox(spark, (0, 0, 30, 20), nx=30, ny=20).focal({"x": 1, "y": 1}, "mean")
     text = c.df._jdf.queryExecution().executedPlan().toString()
     assert 2 <= scan_report(c.df)["exchanges"] <= 4 and "NestedLoop" not in text and "SinglePartition" not in text
+
+
+def test_classes_areas_and_semi_joins(spark):
+    c = Cube.from_arrays(spark, {"a": np.arange(12.0).reshape(4, 3), "b": np.full((4, 3), 5.0)}, Dimensions((Dim("x", 4, 0.0, 90.0), Dim("y", 3, 90.0, -60.0)), ("x", "y")))
+    cut = c.cut(2, labels=["low", "high"])
+    rows = cut.df.collect()
+    assert all(r.a == ("low" if r.x <= 2 else "high") for r in rows) and len(rows) == 12
+    assert {r.b for r in rows} == {"low"}  # one value lies in the middle, and classes close on the right
+    with pytest.raises(ValueError, match="labels"):
+        c.cut([0, 1, 2], labels=["one"])
+    with pytest.raises(ValueError, match="two"):
+        c.cut(1)
+    assert sum(r.area for r in c.area(radius=2.0).df.collect()) == pytest.approx(4 * np.pi * 4)
+    points = spark.createDataFrame([(1, 10.0, 80.0), (2, 11.0, 80.0), (3, 300.0, -80.0), (4, 999.0, 0.0), (5, None, 1.0)], "pid int, px double, py double")
+    semi = c.join_semi(points)
+    assert sorted((r.x, r.y, r.a) for r in semi.df.collect()) == [(1, 1, 0.0), (4, 3, 11.0)] and semi.dims.shape == (4, 3)
+    assert c.join_semi(points.limit(0)).df.count() == 0
+    assert c.dims.resolution() == {"x": 90.0, "y": 60.0} and c.dims.resolution(absolute=False)["y"] == -60.0
