@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import functions as C
 from .dims import Dim, Dimensions
 from .operators import aggregate, combine, resample, spatial
+from .plans import literal_array
 
 Attr = str
 
@@ -120,6 +121,23 @@ class Cube(aggregate.Aggregation, combine.Combination, resample.Resampling, spat
     def mutate(self, **exprs: Column) -> Cube:
         return self.with_df(self.df.withColumns(exprs), (*self.attrs, *[k for k in exprs if k not in self.attrs]))
 
+    def drop(self, *attrs: str) -> Cube:
+        """The cube without some attributes; one has to stay."""
+        left = [a for a in self.attrs if a not in attrs]
+        if not left or set(attrs) - set(self.attrs):
+            raise ValueError(f"attributes {self.attrs} without {attrs}")
+        return self.select(*left)
+
+    def fill(self, name: str, values: list, most: int = 20_000) -> Cube:
+        """An attribute of a few values repeated over all cells, the first axis running fastest."""
+        if not values or len(values) > most or math.prod(self.dims.shape) % len(values):
+            raise ValueError(f"{len(values)} values for {math.prod(self.dims.shape)} cells, at most {most}")
+        place, stride = F.lit(0).cast("long"), 1
+        for d in self.dims.dims:
+            place, stride = place + (F.col(d.name).cast("long") - 1) * stride, stride * d.n
+        value = F.element_at(literal_array(list(values)), (place % len(values) + 1).cast("int"))
+        return self.with_df(self.dense()).mutate(**{name: value})
+
     def transmute(self, **exprs: Column) -> Cube:
         return self.with_df(self.df.select(*self.index, *[v.alias(k) for k, v in exprs.items()]), tuple(exprs))
 

@@ -168,6 +168,17 @@ class Dimensions:
         c = [self.affine_xy(i, j) for i in (0, x.n) for j in (0, y.n)]
         return min(p[0] for p in c), min(p[1] for p in c), max(p[0] for p in c), max(p[1] for p in c)
 
+    def with_bbox(self, bbox: tuple[float, float, float, float]) -> Dimensions:
+        """The same cells over another box; steps keep their signs.  Axes must be regular and whole."""
+        new = []
+        for n, low, high in zip(self.xy, bbox[:2], bbox[2:], strict=True):
+            d = self[n]
+            if not d.regular or d.first != 1 or self.affine != (0.0, 0.0):
+                raise ValueError(f"dimension {n}: not a regular axis from its first cell")
+            step = (high - low) / d.n
+            new.append(replace(d, offset=low, delta=step) if d.delta > 0 else replace(d, offset=high, delta=-step))
+        return self.put(*new)
+
     def geotransform(self) -> tuple[float, ...]:
         x, y = (self[n] for n in self.xy)
         return x.offset, x.delta, self.affine[0], y.offset, self.affine[1], y.delta

@@ -148,6 +148,11 @@ def cut_classes(spark, d):
     return raster(spark, d).cut(4, labels=["a", "b", "c", "d"]).df
 
 
+@_query(f"with {Q} select x, y, [1.0, 2.0, 4.0, 8.0][(x - 1 + (y - 1) * 64) % 4 + 1]::double as w from q")
+def fill_repeated(spark, d):
+    return raster(spark, d).fill("w", [1.0, 2.0, 4.0, 8.0]).drop("v").df
+
+
 @_query(f"with {Q} select distinct x, y, round(radians(1) * (sin(radians(y)) - sin(radians(y - 1))) * 6371010.0 * 6371010.0, 0) as area from q where y <= 80")
 def area_sphere(spark, d):
     return _rounded(raster(spark, d).isel(y=slice(1, 80)).area(radius=6371010.0).df, "area", digits=0)

@@ -225,3 +225,14 @@ def test_classes_areas_and_semi_joins(spark):
     assert sorted((r.x, r.y, r.a) for r in semi.df.collect()) == [(1, 1, 0.0), (4, 3, 11.0)] and semi.dims.shape == (4, 3)
     assert c.join_semi(points.limit(0)).df.count() == 0
     assert c.dims.resolution() == {"x": 90.0, "y": 60.0} and c.dims.resolution(absolute=False)["y"] == -60.0
+    assert c.dims.with_bbox((0, -30, 8, 30)).bbox() == (0, -30, 8, 30) and c.dims.with_bbox((0, -30, 8, 30)).resolution(absolute=False) == {"x": 2.0, "y": -20.0}
+    with pytest.raises(ValueError, match="regular"):
+        c.isel(x=slice(2, 3)).dims.with_bbox((0, 0, 1, 1))
+    filled = c.isel(y=[1, 3]).mask(F.col("a") < 5).fill("w", [1, 2, 3, 4])
+    assert sorted((r.x, r.y, r.w) for r in filled.df.collect()) == [(x, y, x) for x in (1, 2, 3, 4) for y in (1, 2)]
+    assert filled.drop("a", "b").attrs == ("w",)
+    for wrong in ([], [1] * 5):
+        with pytest.raises(ValueError, match="values"):
+            c.fill("w", wrong)
+    with pytest.raises(ValueError, match="without"):
+        c.drop("a", "b")
