@@ -78,7 +78,10 @@ class Resampling:
         return bins.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
     def extract_cubic(self, points: DataFrame, x: str = "px", y: str = "py", key: str = "pid") -> DataFrame:
-        """Cubic convolution at points; missing if one of the sixteen cells around is."""
+        """Cubic convolution at points; missing if one of the sixteen cells around is.
+
+        The planner takes sixteen rows a point for one, so it must not broadcast them: small cubes travel, else both sides are shuffled.
+        """
         nx, ny = self.dims.xy
         at = lambda c, d: (F.col(c) - d.offset) / d.delta - (d.first - 1) + 0.5
         u, v = at(x, self.dims[nx]), at(y, self.dims[ny])
@@ -86,7 +89,8 @@ class Resampling:
         cells = [F.struct((F.col("_i") + a).alias("i"), (F.col("_j") + b).alias("j"), (cubic_weight(F.col("_u") - a) * cubic_weight(F.col("_v") - b)).alias("w")) for a in range(-1, 3) for b in range(-1, 3)]
         near = p.select(key, F.explode(F.array(*cells)).alias("n")).select(key, F.col("n.i").alias(nx), F.col("n.j").alias(ny), F.col("n.w").alias("_w"))
         rest = [n for n in self.index if n not in (nx, ny)]
-        return near.join(self.df, [nx, ny]).groupBy(key, *rest).agg(*[F.when(F.count(a) == 16, F.sum(F.col("_w") * F.col(a))).alias(a) for a in self.attrs])
+        got = lookup(near.hint("merge"), [nx, ny], self.df, math.prod(self.dims.shape))
+        return got.groupBy(key, *rest).agg(*[F.when(F.count(a) == 16, F.sum(F.col("_w") * F.col(a))).alias(a) for a in self.attrs])
 
     def downsample_to(self, pixels: int):
         """Whole steps over the raster axes so that about ``pixels`` cells are left."""

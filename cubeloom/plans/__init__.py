@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 LITERAL_ENTRIES = 20_000
 
 
-def lookup(df: DataFrame, key: str, table: DataFrame, entries: int, how: str = "inner") -> DataFrame:
-    """Join a table of known size on a key: broadcast while it is small, else left to the planner."""
+def lookup(df: DataFrame, key: str | list[str], table: DataFrame, entries: int, how: str = "inner") -> DataFrame:
+    """Join a table of known size on a key or keys: broadcast while it is small, else left to the planner."""
     return df.join(F.broadcast(table) if entries <= LITERAL_ENTRIES else table, key, how)
 
 

@@ -200,6 +200,19 @@ def test_cubic_interpolation(spark):
     assert got[1] == pytest.approx(2 * 3.2 - 3 * 2.9 + 3.2 * 2.9) and got[2] == pytest.approx(9 - 10.5 + 15.75) and got[3] is None
 
 
+def test_cubic_interpolation_plan(spark):
+    """Sixteen rows a point are never broadcast, however small the points look; a small cube is."""
+    points = spark.range(3000).selectExpr("id as pid", "id % 50 * 0.9 + 2.3 as px", "id div 50 * 0.7 + 2.1 as py")
+    for nx, ny, wanted, other in ((60, 50, "BroadcastHashJoin", "SortMergeJoin"), (250, 100, "SortMergeJoin", "Broadcast")):
+        cells = spark.range(nx * ny).selectExpr(f"cast(id % {nx} + 1 as int) as x", f"cast(id div {nx} + 1 as int) as y")
+        c = Cube(cells.selectExpr("x", "y", "2 * (x - 0.5D) - 3 * (y - 0.5D) + (x - 0.5D) * (y - 0.5D) as a"), Dimensions((Dim("x", nx, 0.0, 1.0), Dim("y", ny, 0.0, 1.0)), ("x", "y")), ("a",))
+        got = c.extract_cubic(points)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert wanted in text and other not in text and "Generate" not in text.partition("BroadcastExchange")[2]
+        rows = got.join(points, "pid").collect()
+        assert len(rows) == 3000 and all(r.a == pytest.approx(2 * float(r.px) - 3 * float(r.py) + float(r.px) * float(r.py)) for r in rows)
+
+
 def test_moving_boxes_plan(spark):
     """Lines are shuffled once an axis; no nested loops and no single partition."""
     from cubeloom.plans import scan_report
