@@ -256,7 +256,8 @@ class TreeBPE:
 
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str) -> TreeBPE:
-    """One reading of a vocabulary for each Python worker."""
+    """One reading of a vocabulary for each Python worker, until it takes tasks of another operator."""
+    C.keep_for(__name__, _loaded.cache_clear)
     return TreeBPE(path)
 
 
@@ -296,11 +297,12 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, column: str = "token
     schema = encoded.select(*keep).withColumn(to, encoded[column].cast("string")).schema
 
     def run(batches):
-        bpe = _loaded(path)
         at = keep.index(column)
-        for batch in batches:
-            texts = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, to])
+        with C.worker_task(__name__):
+            bpe = _loaded(path)
+            for batch in batches:
+                texts = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, to])
 
     return encoded.select(*keep).mapInArrow(run, schema)
 

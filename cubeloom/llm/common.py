@@ -1,8 +1,11 @@
-"""Shared pieces: shared-folder tables, vectorised words and hashes, components."""
+"""Shared pieces: shared-folder tables, workers' memory, vectorised words and hashes, components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -62,6 +65,41 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# ----------------------------------------------------------------- workers
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_released = [0.0]
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def release(wait: float = 0.0) -> None:
+    """Hand memory that was freed back to the system; allocators keep it, and a worker outlives its tasks.
+
+    Nothing is done within ``wait`` seconds of the last time.
+    """
+    if time.monotonic() - _released[0] >= wait:
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+        _released[0] = time.monotonic()
+
+
+def keep_for(module: str, drop: Callable[[], None]) -> None:
+    """A worker keeps something for the tasks of a module; ``drop`` is called when a task of another one begins."""
+    _kept[module] = drop
+
+
+@contextlib.contextmanager
+def worker_task(module: str) -> Iterator[None]:
+    """Around the work of a task: what the worker keeps for other modules goes first, freed memory goes at the end."""
+    for other in [m for m in _kept if m != module]:
+        _kept.pop(other)()
+    try:
+        yield
+    finally:
+        release()
+
+
 # ------------------------------------------------------------------- arrow
 
 
@@ -107,10 +145,14 @@ def append_columns(docs: DataFrame, make: Callable[[], Callable], fields: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
-        for batch in batches:
-            for part, data, offsets in text_steps(batch, text):
-                step = step or make()
-                yield pa.RecordBatch.from_arrays([*part.columns, *step(part, data, offsets)], names=[f.name for f in schema])
+        with worker_task(make.__module__):
+            for batch in batches:
+                for part, data, offsets in text_steps(batch, text):
+                    step = step or make()
+                    yield pa.RecordBatch.from_arrays([*part.columns, *step(part, data, offsets)], names=[f.name for f in schema])
+                batch = part = data = offsets = None
+                release()
+            step = None
 
     return staged.mapInArrow(run, schema)
 
@@ -172,7 +214,8 @@ _POW: list[np.ndarray] = []
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW[0]) < n:
-        size = max(n, 2 * BLOCK)
+        # as long as a step; beyond that doubled
+        size = STEP_BYTES + 1 if n <= STEP_BYTES + 1 else 1 << n.bit_length()
         _POW[:] = [_powers(_P, size), _powers(_PINV, size)]
     return _POW[0], _POW[1]
 

@@ -351,6 +351,7 @@ def _join_points(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         src.append(node[a:b])
         dst.append(node[a + root])
     out = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+    C.release(1)
     return out[out["src"] != out["dst"]].drop_duplicates()
 
 
@@ -400,27 +401,34 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in C.text_steps(batch):
-                sets = list(shingle_sets(data, offsets, words))
-                points = [count_vector(s).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "sid", "point"])
+        with C.worker_task(__name__):
+            for batch in batches:
+                for part, data, offsets in C.text_steps(batch):
+                    sets = list(shingle_sets(data, offsets, words))
+                    points = [count_vector(s).astype(np.uint8).tobytes() for s in sets]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array(points, pa.binary())], names=["doc_id", "n_shingles", "sid", "point"])
+                batch = part = data = offsets = sets = points = None
+                C.release()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            for _, data, offsets in C.text_steps(batch):
-                sets, names = [], []
-                for s in shingle_sets(data, offsets, words):
-                    if len(s) and (d := digest(s)) not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(d)
-                        sets.append(s)
-                        names.append(node_of(d))
-                cells = [cells_of(s, num, den) for s in sets]
-                node = np.repeat(np.array(names, np.int64), [len(c) for c in cells])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*cells, np.zeros(0, np.int64)])), pa.array(node)], names=["cell", "node"])
+        with C.worker_task(__name__):
+            for batch in batches:
+                for part, data, offsets in C.text_steps(batch):
+                    sets, names = [], []
+                    for s in shingle_sets(data, offsets, words):
+                        if len(s) and (d := digest(s)) not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(d)
+                            sets.append(s)
+                            names.append(node_of(d))
+                    cells = [cells_of(s, num, den) for s in sets]
+                    node = np.repeat(np.array(names, np.int64), [len(c) for c in cells])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*cells, np.zeros(0, np.int64)])), pa.array(node)], names=["cell", "node"])
+                batch = part = data = offsets = sets = cells = node = None
+                C.release()
+            seen.clear()
 
     table = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, sid binary, point binary"))
     reps = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies"))
@@ -457,6 +465,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
                 root = components_within(sets, num, den)
                 links = np.zeros(len(sets), np.int64)
             out.append(pd.DataFrame({"src": ids, "dst": ids[root], "links": links}))
+            sets = batch = None
+        C.release(1)
         return pd.concat(out)
 
     few = count * min(most or 1, CHUNKS) <= C.BROADCAST_ROWS and (most or 1) <= CHUNKS
@@ -483,8 +493,8 @@ def sketch_of(words: int):
     """Texts with the digests of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in C.text_steps(batch):
+        with C.worker_task(__name__):
+            for part, data, offsets in (step for batch in batches for step in C.text_steps(batch)):
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([digest(s) for s in shingle_sets(data, offsets, words)], pa.binary())], names=["text", "sid"])
 
     return run

@@ -100,15 +100,19 @@ def corpus_trigrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["trigram", "n"])
 
-        for batch in batches:
-            for _, data, offsets in C.text_steps(batch):
-                raw = data.tobytes()
-                key, n = count_trigrams([raw[a:b].decode() for a, b in itertools.pairwise(offsets.tolist())])
-                held.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
-                if len(held) > HELD_TRIGRAMS:
-                    yield out()
-                    held.clear()
-        yield out()
+        with C.worker_task(__name__):
+            for batch in batches:
+                for part, data, offsets in C.text_steps(batch):
+                    raw = data.tobytes()
+                    key, n = count_trigrams([raw[a:b].decode() for a, b in itertools.pairwise(offsets.tolist())])
+                    held.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
+                    if len(held) > HELD_TRIGRAMS:
+                        yield out()
+                        held.clear()
+                batch = part = data = offsets = raw = None
+                C.release()
+            yield out()
+            held.clear()
 
     got = docs.select("text").mapInArrow(count, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
     key, n = got.column("trigram").to_numpy(), got.column("n").to_numpy()
